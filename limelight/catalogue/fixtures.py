@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from limelight.functions.timing import from_micros
+from limelight.plans.layout import spread
 from limelight.sources.scratch import scratch_path
 
 FIRST_MICROS = 1_451_606_400_000_000  # 2016-01-01
@@ -39,9 +40,9 @@ def readmes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def repositories(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents as repositories: length for stars, labels for flags, lines for commits."""
-    documents = table(spark, sf_dir, "documents")
+    documents = spread(table(spark, sf_dir, "documents"), "doc_id")
     labels = table(spark, sf_dir, "labels")
-    lines = F.regexp_count("text", F.lit("\n")).cast("bigint")
+    lines = (F.length("text") - F.length(F.replace("text", F.lit("\n"), F.lit("")))).cast("bigint")
     created = FIRST_MICROS + F.col("doc_id") * HOUR_MICROS
     return documents.join(labels, "doc_id", "left").select(
         F.concat(F.lit("R"), "doc_id").alias("id"),
@@ -146,7 +147,7 @@ def _node(bonus: int) -> Column:
 def land_pages(spark: SparkSession, sf_dir: str, landing: str | None = None, round: int = 0) -> str:
     """Write one round of pages as JSON lines; returns the landing folder."""
     page = F.call_function("div", F.col("doc_id"), F.lit(PAGE_ROWS))
-    nodes = table(spark, sf_dir, "documents").select(
+    nodes = spread(table(spark, sf_dir, "documents"), "doc_id").select(
         page.alias("page"), "doc_id", F.struct(_node(round).alias("node")).alias("edge")
     )
     # doc_id is a key, so a page cannot hold more than PAGE_ROWS nodes.

@@ -9,6 +9,7 @@ from limelight.catalogue.fixtures import README_SQL, readmes, table
 from limelight.catalogue.registry import query
 from limelight.functions import text as X
 from limelight.operators import vocabulary as V
+from limelight.sources.scratch import materialise
 
 READMES_SQL = f"(SELECT doc_id, {README_SQL} AS readme FROM documents)"
 EMOJI_SQL = "[\\x{1F300}-\\x{1FAFF}\\x{2600}-\\x{27BF}]"
@@ -95,9 +96,9 @@ DICTIONARY_SQL = f"""(SELECT a.token, b.token AS lemma FROM (SELECT DISTINCT tok
 
 def _dictionary(spark, sf_dir) -> DataFrame:
     """Plain plurals of the corpus: tokens that are another token followed by 's'."""
-    known = V.token_counts(_documents(spark, sf_dir), "doc_id", "text").select("token")
+    known = materialise(V.token_counts(_documents(spark, sf_dir), "doc_id", "text").select("token"), "known")
     stems = known.select(F.col("token").alias("lemma"), F.concat("token", F.lit("s")).alias("token"))
-    return stems.join(known, "token")
+    return materialise(stems.join(known, "token"), "dictionary")
 
 
 @query(

@@ -25,24 +25,28 @@ def distinct_with_null(df: DataFrame, columns: Sequence[str], approximate: bool
 
 
 def profile(df: DataFrame, columns: Sequence[str] | None = None, approximate: bool = False) -> DataFrame:
-    """Per column: type, rows, nulls, different values, smallest and largest value as text; one aggregate."""
+    """Per column: type, rows, nulls, different values, smallest and largest value as text.
+
+    One aggregate over all columns. The exact number of values is a scan of its column
+    alone: several distinct counts in one aggregate would multiply every row by the number
+    of columns. `approximate` keeps to the single aggregate.
+    """
     columns = list(columns or df.columns)
-    distinct = F.approx_count_distinct if approximate else F.count_distinct
     aggregates, records = [F.count("*").alias("rows")], []
     for i, c in enumerate(columns):
-        aggregates += [
-            F.count(c).alias(f"p{i}"),
-            distinct(F.col(c)).alias(f"d{i}"),
-            F.min(c).alias(f"lo{i}"),
-            F.max(c).alias(f"hi{i}"),
-        ]
+        aggregates += [F.count(c).alias(f"p{i}"), F.min(c).alias(f"lo{i}"), F.max(c).alias(f"hi{i}")]
+        if approximate:
+            aggregates.append(F.approx_count_distinct(c).alias(f"d{i}"))
+            values = F.col(f"d{i}")
+        else:
+            values = df.select(c).filter(F.col(c).isNotNull()).distinct().agg(F.count("*")).scalar()
         records.append(
             F.struct(
                 F.lit(c).alias("column"),
                 F.lit(df.schema[c].dataType.simpleString()).alias("type"),
                 F.col("rows"),
                 (F.col("rows") - F.col(f"p{i}")).alias("nulls"),
-                F.col(f"d{i}").alias("values"),
+                values.alias("values"),
                 F.col(f"lo{i}").cast("string").alias("smallest"),
                 F.col(f"hi{i}").cast("string").alias("largest"),
             )

@@ -89,7 +89,8 @@ class ModelSearch:
     ):
         self.spark, self.label, self.seed = train.sparkSession, label, seed
         self.preparation = M.prepare_features(train, numbers, categories)
-        self.train = self.preparation.transform(train).select(label, M.FEATURES)
+        # Every candidate reads the training rows several times: encode them once.
+        self.train = materialise(self.preparation.transform(train).select(label, M.FEATURES), "prepared")
         self.test = self.preparation.transform(test)
         self.ranked: list[M.Trained] = []
 
