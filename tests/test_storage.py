@@ -109,7 +109,7 @@ def test_scratch_folder(spark):
     with pytest.raises(RuntimeError):
         scratch.scratch_root(Session("yarn"))
     stored = scratch.materialise(spark.range(5), "t")
-    assert stored.inputFiles()[0].startswith(scratch.scratch_root(spark).replace("file:/", "file:///"))
+    assert scratch.scratch_root(spark).removeprefix("file:") + "/t-" in stored.inputFiles()[0]
 
 
 def test_spread_only_small_inputs(spark, tmp_path):
