@@ -46,6 +46,28 @@ def range_breakdown_overflow(spark, sf_dir):
     return ranges.range_breakdown(table(spark, sf_dir, "events"), micros(F.date_trunc("day", "ts")), 340)
 
 
+YEARS_SQL = """
+    WITH p AS (SELECT epoch_us(o_orderdate) AS x, epoch_us(date_trunc('year', o_orderdate)::TIMESTAMP) AS lo,
+               epoch_us(date_trunc('year', o_orderdate)::TIMESTAMP + INTERVAL 1 YEAR) AS hi FROM orders),
+    d AS (SELECT min(i) AS deepest FROM range(0, 49) t(i), (SELECT max(hi - lo) AS w FROM p)
+          WHERE (2 ** i)::HUGEINT >= w),
+    c AS (SELECT lo, hi - lo AS w, i AS level, ((x - lo)::HUGEINT * (2 ** i)::HUGEINT) // (hi - lo) AS cell,
+                 count(*) AS n FROM p, d, range(0, 49) t(i) WHERE i <= deepest GROUP BY ALL),
+    leaf AS (SELECT c.* FROM d, c LEFT JOIN c AS q ON q.lo = c.lo AND q.level = c.level - 1 AND q.cell = c.cell // 2
+             WHERE (c.n < 1000 OR c.level = deepest) AND (c.level = 0 OR q.n >= 1000))
+    SELECT make_timestamp((lo + (cell * w + (2 ** level)::HUGEINT - 1) // (2 ** level)::HUGEINT)::BIGINT) AS startdate,
+           make_timestamp((lo + ((cell + 1) * w + (2 ** level)::HUGEINT - 1) // (2 ** level)::HUGEINT)::BIGINT)
+               AS enddate,
+           n AS numrepos, n >= 1000 AS overflow FROM leaf"""
+
+
+@query(YEARS_SQL)
+def range_breakdown_years(spark, sf_dir):
+    """Every calendar year halved by itself, all years in one pass."""
+    found = ranges.time_breakdown(table(spark, sf_dir, "orders"), "o_orderdate", unit="year")
+    return found.withColumns({c: ntz(F.col(c)) for c in ("startdate", "enddate")})
+
+
 @query(
     """WITH p AS (SELECT user_id, min(ts) AS startdate, max(ts) AS enddate FROM events GROUP BY user_id)
     SELECT startdate, enddate, (SELECT count(*) FROM events WHERE ts >= startdate AND ts < enddate) AS numrepos

@@ -20,10 +20,11 @@ def upsert_latest(spark, sf_dir):
 
 @query(LATEST_SQL)
 def upsert_merge(spark, sf_dir):
-    """The answers written over the questions: what stays is the last turn of either."""
+    """The answers written over the last questions: what stays is the last turn of either."""
     turns = table(spark, sf_dir, "conversations")
     answer = F.col("role") == "assistant"
-    return keyed.upsert(turns.filter(~answer), turns.filter(answer), ["conv_id"], ["turn"])
+    questions = keyed.latest_per_key(turns.filter(~answer), ["conv_id"], ["turn"])
+    return keyed.upsert(questions, turns.filter(answer), ["conv_id"], ["turn"])
 
 
 ITEM_ORDER = ["l_partkey", "l_suppkey", "l_extendedprice", "l_quantity", "l_discount", "l_tax"]

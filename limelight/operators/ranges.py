@@ -24,7 +24,7 @@ def _levels(width: int) -> int:
     return max(width - 1, 0).bit_length()
 
 
-def _cell(position: Column, width: int, level: int) -> Column:
+def _cell(position: Column, width: Column, level: int) -> Column:
     """Number of the 2^level-th part of [0, width) holding `position`, exactly floor(position * 2^level / width).
 
     Done `_STEP` binary digits at a time, long-division style, because the full product
@@ -35,22 +35,29 @@ def _cell(position: Column, width: int, level: int) -> Column:
     while done < level:
         digits = min(_STEP, level - done)
         scaled = rest * (1 << digits)
-        cell = cell * (1 << digits) + F.call_function("div", scaled, F.lit(width))
+        cell = cell * (1 << digits) + F.call_function("div", scaled, width)
         rest = scaled % width
         done += digits
     return cell
 
 
-def _edge(cell: Column, level: Column, lo: int, width: int) -> Column:
+def _edge(cell: Column) -> Column:
     """First axis value of a cell: lo + ceil(cell * width / 2^level)."""
-    size = F.call_function("shiftleft", F.lit(1).cast("bigint"), level)
-    product = cell.cast("decimal(19,0)") * F.lit(width).cast("decimal(18,0)") + (size - 1).cast("decimal(19,0)")
-    return F.lit(lo) + F.call_function("div", product, size.cast("decimal(19,0)"))
+    size = F.call_function("shiftleft", F.lit(1).cast("bigint"), F.col("level"))
+    product = cell.cast("decimal(19,0)") * F.col("width").cast("decimal(18,0)")
+    rounded_up = product + (size - 1).cast("decimal(19,0)")
+    return F.col("lo") + F.call_function("div", rounded_up, size.cast("decimal(19,0)"))
 
 
-def range_breakdown(df: DataFrame, axis: Column, limit: int = RANGE_LIMIT) -> DataFrame:
+def range_breakdown(
+    df: DataFrame, axis: Column, limit: int = RANGE_LIMIT, lo: Column | None = None, hi: Column | None = None
+) -> DataFrame:
     """Halve the span of `axis` (whole numbers, nulls left out) until a range holds fewer than `limit` rows.
 
+    `lo` and `hi` give the half-open initial range of each row, for instance its calendar
+    year; every initial range is halved by itself, all in the same pass, and rows outside of
+    theirs are left out. By default there is one, from the smallest to the largest value.
+
     Returns `start`, `end` (half-open), `num`, `depth` and `overflow`; ranges without rows
     are left out. `overflow` marks a single axis value with `limit` rows or more, which no
     halving can cut.
@@ -60,16 +67,20 @@ def range_breakdown(df: DataFrame, axis: Column, limit: int = RANGE_LIMIT) -> Da
     again, with finer cells: at most four passes for any span and any skew. Counts are
     pre-aggregated before each shuffle, so a crowded instant is one row per task.
     """
-    spark = df.sparkSession
-    points = df.select(axis.cast("bigint").alias("x")).filter("x is not null")
-    lo, hi, n = points.agg(F.min("x"), F.max("x"), F.count("*")).first()
-    empty = "start bigint, end bigint, num bigint, depth int, overflow boolean"
+    points = df.select(axis.cast("bigint").alias("x"), *([] if lo is None else [lo.alias("lo"), hi.alias("hi")]))
+    points = points.filter("x is not null" if lo is None else "x >= lo and x < hi")
+    if lo is None:
+        first, last, n = points.agg(F.min("x"), F.max("x"), F.count("*")).first()
+        widest = last + 1 - first if n else 0
+        points = points.withColumns({"lo": F.lit(first).cast("bigint"), "width": F.lit(widest).cast("bigint")})
+    else:
+        points = points.select("x", "lo", (F.col("hi") - F.col("lo")).alias("width"))
+        widest, n = points.agg(F.max("width"), F.count("*")).first()
     if n == 0:
-        return spark.createDataFrame([], empty)
-    width = hi + 1 - lo
-    if width >= 1 << 48:
+        return df.sparkSession.createDataFrame([], "start bigint, end bigint, num bigint, depth int, overflow boolean")
+    if widest >= 1 << 48:
         raise ValueError("the axis spans 2^48 units or more; use a coarser unit")
-    deepest = _levels(width)
+    deepest = _levels(widest)
     needed = (n // max(limit, 1)).bit_length() + 3
     per_pass = min(MAX_LEVELS_PER_PASS, max(MIN_LEVELS_PER_PASS, needed))
 
@@ -77,24 +88,25 @@ def range_breakdown(df: DataFrame, axis: Column, limit: int = RANGE_LIMIT) -> Da
     top, crowded = 0, None
     while True:
         bottom = min(top + per_pass, deepest)
-        cell = _cell(F.col("x") - lo, width, bottom)
-        counts = points.groupBy(cell.alias("cell")).agg(F.count("*").alias("n"))
+        cell = _cell(F.col("x") - F.col("lo"), F.col("width"), bottom)
+        counts = points.groupBy("lo", "width", cell.alias("cell")).agg(F.count("*").alias("n"))
         if crowded is not None:
-            above = F.shiftright(F.col("cell"), bottom - top)
-            counts = counts.join(crowded.select(F.col("cell").alias("root")), above == F.col("root"), "left_semi")
-        tree = _tree(counts, top, bottom)
-        nodes = materialise(tree, "range-tree")
-        found = _leaves(nodes, top, bottom, deepest, limit, first=crowded is None)
+            counts = counts.withColumn("root", F.shiftright("cell", bottom - top)).join(
+                crowded, ["lo", "width", "root"], "left_semi"
+            )
+        nodes = materialise(_tree(counts, top, bottom), "range-tree")
+        found = _leaves(nodes, top, deepest, limit)
         leaves = found if leaves is None else leaves.unionByName(found)
         if bottom == deepest:
             break
-        crowded = nodes.filter((F.col("level") == bottom) & (F.col("n") >= limit)).select("cell")
+        full = (F.col("level") == bottom) & (F.col("n") >= limit)
+        crowded = nodes.filter(full).select("lo", "width", F.col("cell").alias("root"))
         if crowded.isEmpty():
             break
         top = bottom
     return leaves.select(
-        _edge(F.col("cell"), F.col("level"), lo, width).alias("start"),
-        _edge(F.col("cell") + 1, F.col("level"), lo, width).alias("end"),
+        _edge(F.col("cell")).alias("start"),
+        _edge(F.col("cell") + 1).alias("end"),
         F.col("n").alias("num"),
         F.col("level").alias("depth"),
         (F.col("n") >= limit).alias("overflow"),
@@ -104,29 +116,36 @@ def range_breakdown(df: DataFrame, axis: Column, limit: int = RANGE_LIMIT) -> Da
 def _tree(counts: DataFrame, top: int, bottom: int) -> DataFrame:
     """Counts of all cells from level `top` down to `bottom`, given those of `bottom`."""
     levels = F.explode(F.sequence(F.lit(top), F.lit(bottom))).alias("level")
-    lifted = counts.select("cell", "n", levels).select(
-        "level", F.call_function("shiftright", F.col("cell"), F.lit(bottom) - F.col("level")).alias("cell"), "n"
-    )
-    return lifted.groupBy("level", "cell").agg(F.sum("n").alias("n"))
+    above = F.call_function("shiftright", F.col("cell"), F.lit(bottom) - F.col("level"))
+    lifted = counts.select("lo", "width", "cell", "n", levels).withColumn("cell", above)
+    return lifted.groupBy("lo", "width", "level", "cell").agg(F.sum("n").alias("n"))
+
 
+def _leaves(nodes: DataFrame, top: int, deepest: int, limit: int) -> DataFrame:
+    """Cells small enough whose parent was not, and the uncuttable ones at the deepest level.
 
-def _leaves(nodes: DataFrame, top: int, bottom: int, deepest: int, limit: int, first: bool) -> DataFrame:
-    """Cells small enough whose parent was not, and the uncuttable ones at the deepest level."""
-    small = F.col("n") < limit
-    ends = nodes.filter(small | (F.col("level") == deepest))
-    full = nodes.filter(F.col("n") >= limit).select(
-        (F.col("level") + 1).alias("level"), F.col("cell").alias("parent")
+    The cells of level `top` have no parent here: at the first pass they are leaves if they
+    are small, later on they are the crowded cells that this pass refines.
+    """
+    ends = nodes.filter((F.col("n") < limit) | (F.col("level") == deepest))
+    parents = nodes.filter(F.col("n") >= limit).select(
+        "lo", "width", (F.col("level") + 1).alias("level"), F.col("cell").alias("parent")
     )
     below = ends.filter(F.col("level") > top).withColumn("parent", F.shiftright("cell", 1))
-    found = below.join(full, ["level", "parent"], "left_semi").select("level", "cell", "n")
-    if first:
-        found = found.unionByName(ends.filter(F.col("level") == top).select("level", "cell", "n"))
-    return found
+    found = below.join(parents, ["lo", "width", "level", "parent"], "left_semi").drop("parent")
+    return found.unionByName(ends.filter(F.col("level") == top)) if top == 0 else found
+
 
+def time_breakdown(df: DataFrame, ts: str, limit: int = RANGE_LIMIT, unit: str | None = None) -> DataFrame:
+    """`range_breakdown` over a timestamp column, as the stored periods table plus the overflow flag.
 
-def time_breakdown(df: DataFrame, ts: str, limit: int = RANGE_LIMIT) -> DataFrame:
-    """`range_breakdown` over a timestamp column, as the stored periods table plus the overflow flag."""
-    ranges = range_breakdown(df, micros(F.col(ts)), limit)
+    With `unit` ('year', 'month', ...) each calendar unit is an initial period of its own.
+    """
+    lo = hi = None
+    if unit is not None:
+        first = F.date_trunc(unit, F.col(ts).cast("timestamp"))
+        lo, hi = micros(first), micros(first + F.expr(f"interval 1 {unit}"))
+    ranges = range_breakdown(df, micros(F.col(ts)), limit, lo, hi)
     return ranges.select(
         from_micros(F.col("start")).alias("startdate"),
         from_micros(F.col("end")).alias("enddate"),

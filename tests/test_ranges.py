@@ -71,6 +71,28 @@ def test_breakdown_properties(spark, seed):
     assert all((n < limit) != overflow and (not overflow or end - start == 1) for start, end, n, overflow in found)
 
 
+def test_initial_ranges_are_halved_separately(spark):
+    rng = random.Random(9)
+    values = [rng.randrange(1000) for _ in range(300)] + [450] * 30
+    df = numbers(spark, values + [None])
+    hundred = F.call_function("div", F.col("x"), F.lit(100)) * 100
+    # Rows beyond 900 lie outside of their range.
+    found = ranges.range_breakdown(df, F.col("x"), 10, hundred, F.least(hundred + 100, F.lit(900))).collect()
+    want = []
+    for lo in range(0, 900, 100):
+        inside = [v for v in values if lo <= v < lo + 100]
+        deepest, todo = 7, [(0, 0)]
+        edge = lambda cell, level: lo - (-(cell * 100) // (1 << level))
+        while todo:
+            level, cell = todo.pop()
+            here = sum(edge(cell, level) <= v < edge(cell + 1, level) for v in inside)
+            if here and (here < 10 or level == deepest):
+                want.append((edge(cell, level), edge(cell + 1, level), here))
+            elif here:
+                todo += [(level + 1, 2 * cell), (level + 1, 2 * cell + 1)]
+    assert sorted((r.start, r.end, r.num) for r in found) == sorted(want)
+
+
 def test_breakdown_refuses_too_wide_an_axis(spark):
     with pytest.raises(ValueError):
         ranges.range_breakdown(numbers(spark, [0, 1 << 48]), F.col("x"))

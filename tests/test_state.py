@@ -25,6 +25,36 @@ def test_upsert_is_idempotent(spark):
         assert sorted((r.id, r.v) for r in df.collect()) == want
 
 
+def test_upsert_takes_the_higher_sequence_from_either_side(spark):
+    rng = random.Random(3)
+    old = {k: rng.randrange(100) for k in range(40)}
+    changes = [(rng.randrange(60), rng.randrange(100)) for _ in range(100)]
+    changes = list(dict.fromkeys(c for c in changes if old.get(c[0]) != c[1]))
+    rows = lambda pairs, source: spark.createDataFrame([(k, s, source) for k, s in pairs], "id int, seq int, v string")
+    got = keyed.upsert(rows(old.items(), "old"), rows(changes, "new"), ["id"], ["seq"]).collect()
+    want = {k: (s, "old") for k, s in old.items()}
+    for k, s in changes:
+        want[k] = max(want.get(k, (-1, "")), (s, "new"))
+    assert len(got) == len(want)
+    assert {r.id: (r.seq, r.v) for r in got} == want
+
+
+def test_upsert_does_not_shuffle_the_stored_rows(spark, tmp_path, plan):
+    spark.range(1000).select("id", F.lit(1).alias("seq")).write.parquet(str(tmp_path / "t"))
+    stored = spark.read.parquet(str(tmp_path / "t"))
+    changes = spark.createDataFrame([(5, 2)], "id bigint, seq int")
+    assert "Exchange hashpartitioning" not in plan(keyed.upsert(stored, changes, ["id"], ["seq"]))
+
+
+def test_upsert_with_many_changes(spark, monkeypatch):
+    monkeypatch.setattr(keyed, "BROADCAST_ROWS", 10)
+    stored = spark.range(100).select("id", F.lit(1).alias("seq"))
+    changes = spark.range(50, 150).select("id", F.when(F.col("id") % 2 == 0, 2).otherwise(0).alias("seq"))
+    got = {r.id: r.seq for r in keyed.upsert(stored, changes, ["id"], ["seq"]).collect()}
+    want = {i: 1 for i in range(100)} | {i: 2 if i % 2 == 0 else 1 if i < 100 else 0 for i in range(50, 150)}
+    assert got == want
+
+
 def test_latest_prunes_before_the_shuffle(spark, plan):
     df = spark.range(100).select((F.col("id") % 3).alias("k"), "id")
     text = plan(keyed.latest_per_key(df, ["k"], ["id"]))
