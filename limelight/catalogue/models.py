@@ -4,11 +4,10 @@ from __future__ import annotations
 
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.regression import LinearRegression
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from limelight.catalogue.features import processed
+from limelight.catalogue.features import FRAME_SQL, processed
 from limelight.catalogue.fixtures import table
 from limelight.catalogue.registry import query
 from limelight.operators import modelling as M
@@ -30,11 +29,30 @@ def _search(spark, sf_dir) -> tuple[ModelSearch, DataFrame]:
     return search, search.train_models(max_models=3)
 
 
-@query()
+def _index_sql(column: str) -> str:
+    """Categories of the training rows, the most frequent first."""
+    return f"""SELECT {column}, row_number() OVER (ORDER BY count(*) DESC, {column}) - 1 AS i
+        FROM train WHERE {column} IS NOT NULL GROUP BY {column}"""
+
+
+@query(
+    f"""WITH f AS ({FRAME_SQL}), train AS (SELECT * FROM f WHERE split = 'train'),
+    m AS (SELECT avg(commits) AS commits, avg(fork) AS fork, avg(archived) AS archived FROM train),
+    a AS ({_index_sql("primarylanguage")}), b AS ({_index_sql("license")})
+    SELECT f.name, f.commits::DOUBLE AS commits, round(coalesce(f.fork, m.fork), 6) AS fork,
+           round(coalesce(f.archived, m.archived), 6) AS archived, 0.0::DOUBLE AS locked,
+           coalesce(a.i, (SELECT count(*) FROM a))::DOUBLE AS primarylanguage,
+           coalesce(b.i, (SELECT count(*) FROM b))::DOUBLE AS license
+    FROM m, f LEFT JOIN a ON f.primarylanguage = a.primarylanguage LEFT JOIN b ON f.license = b.license
+    WHERE f.split = 'test'"""
+)
 def prepare_features(spark, sf_dir):
+    """The feature vector of the test rows, as learnt from the training rows."""
     train, test = _parts(spark, sf_dir)
-    prepared = M.prepare_features(train, NUMBERS, CATEGORIES).transform(test)
-    return prepared.select("name", vector_to_array(M.FEATURES).alias("features"))
+    preparation = M.prepare_features(train, NUMBERS, CATEGORIES)
+    vector = vector_to_array(M.FEATURES)
+    columns = [F.round(vector[i], 6).alias(c) for i, c in enumerate(preparation.feature_names)]
+    return preparation.transform(test).select("name", *columns)
 
 
 @query()
@@ -61,19 +79,34 @@ def stacked_score(spark, sf_dir):
     return model.transform(preparation.transform(test)).select("name", "target", "prediction")
 
 
-@query(
-    """SELECT o_orderkey, round(slope * q + intercept, 4) AS prediction FROM
-    (SELECT o_orderkey, coalesce(sum(l_quantity), 0) AS q
-     FROM orders LEFT JOIN lineitem ON o_orderkey = l_orderkey GROUP BY o_orderkey),
-    (SELECT regr_slope(o_totalprice, q) AS slope, regr_intercept(o_totalprice, q) AS intercept FROM
-     (SELECT o_orderkey, any_value(o_totalprice) AS o_totalprice, coalesce(sum(l_quantity), 0) AS q
-      FROM orders LEFT JOIN lineitem ON o_orderkey = l_orderkey GROUP BY o_orderkey))"""
-)
-def score_linear(spark, sf_dir):
-    """The linear candidate with one feature: its result is known in closed form."""
+QUANTITIES_SQL = """(SELECT o_orderkey, any_value(o_totalprice) AS price, coalesce(sum(l_quantity), 0) AS q
+    FROM orders LEFT JOIN lineitem ON o_orderkey = l_orderkey GROUP BY o_orderkey)"""
+LINE_SQL = f"(SELECT regr_slope(price, q) AS slope, regr_intercept(price, q) AS intercept FROM {QUANTITIES_SQL})"
+
+
+def _linear(spark, sf_dir) -> tuple[list[M.Trained], DataFrame]:
+    """The linear candidate for the price of an order, given its total quantity: known in closed form."""
     ordered = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey"))
     rows = table(spark, sf_dir, "orders").join(ordered.agg(F.sum("l_quantity").alias("q")), "o_orderkey", "left")
     rows = rows.select("o_orderkey", F.col("o_totalprice").alias("target"), F.coalesce("q", F.lit(0.0)).alias("q"))
-    prepared = VectorAssembler(inputCols=["q"], outputCol=M.FEATURES).transform(rows)
-    linear = LinearRegression(featuresCol=M.FEATURES, labelCol=M.LABEL, solver="normal").fit(prepared)
-    return linear.transform(prepared).select("o_orderkey", F.round("prediction", 4).alias("prediction"))
+    prepared = materialise(VectorAssembler(inputCols=["q"], outputCol=M.FEATURES).transform(rows), "prepared")
+    return M.train_candidates(prepared, M.candidates(), max_models=1), prepared
+
+
+@query(
+    f"""SELECT o_orderkey, round(slope * q + intercept, 4) AS prediction FROM {QUANTITIES_SQL}, {LINE_SQL}"""
+)
+def score_linear(spark, sf_dir):
+    models, rows = _linear(spark, sf_dir)
+    return models[0].model.transform(rows).select("o_orderkey", F.round("prediction", 4).alias("prediction"))
+
+
+@query(
+    f"""SELECT 1 AS "rank", 'linear' AS model_id, round(sqrt(avg(e * e)), 4) AS rmse, round(avg(abs(e)), 4) AS mae,
+    round(1 - avg(e * e) / var_pop(price), 6) AS r2
+    FROM (SELECT price, price - slope * q - intercept AS e FROM {QUANTITIES_SQL}, {LINE_SQL})"""
+)
+def leaderboard_linear(spark, sf_dir):
+    board = M.leaderboard(spark, M.rank(*_linear(spark, sf_dir)))
+    digits = {"rmse": 4, "mae": 4, "r2": 6}
+    return board.drop("params").withColumns({c: F.round(c, d) for c, d in digits.items()})

@@ -8,6 +8,9 @@ from limelight.catalogue.fixtures import DAYS_SQL, days, ntz, table
 from limelight.catalogue.registry import query
 from limelight.functions.timing import micros
 from limelight.operators import ranges
+from limelight.schema import PERIODS
+from limelight.sources.datasets import append_rows, read_dataset
+from limelight.sources.scratch import scratch_path
 
 
 def breakdown_sql(axis: str, limit: int) -> str:
@@ -30,6 +33,18 @@ def range_breakdown(spark, sf_dir):
     return ranges.range_breakdown(table(spark, sf_dir, "events"), micros(F.col("ts")))
 
 
+@query(
+    f"""SELECT make_timestamp("start") AS startdate, make_timestamp("end") AS enddate, num AS numrepos
+    FROM ({breakdown_sql("epoch_us(ts)", 1000)})"""
+)
+def stored_periods(spark, sf_dir):
+    """The periods table after appending the accepted ranges."""
+    path = scratch_path(spark, "periods")
+    accepted = ranges.time_breakdown(table(spark, sf_dir, "events"), "ts").filter("not overflow").drop("overflow")
+    append_rows(accepted, path, PERIODS)
+    return read_dataset(spark, path).withColumns({c: ntz(F.col(c)) for c in ("startdate", "enddate")})
+
+
 SKEWED_SQL = "((epoch_us(ts) // 1000000 - 1704067200) * (epoch_us(ts) // 1000000 - 1704067200))"
 
 

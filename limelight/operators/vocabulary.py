@@ -69,9 +69,9 @@ def lemma_counts(df: DataFrame, key: str, text: str, dictionary: DataFrame) -> D
 
 
 def lemma_bags(df: DataFrame, key: str, text: str, dictionary: DataFrame) -> DataFrame:
-    """`bag_of_words` over lemmas."""
+    """`bag_of_words` over lemmas; pass a stored `dictionary`."""
     bags = materialise(bag_of_words(df, key, text), "bags")
-    weights = materialise(bags.groupBy("token").agg(F.count("*").alias("df")), "weights")
+    weights = lambda: materialise(bags.groupBy("token").agg(F.count("*").alias("df")), "weights")
     found = lookup_join(bags, dictionary, "token", weights, "df", "left")
     return found.groupBy(key, F.coalesce("lemma", "token").alias("lemma")).agg(F.sum("n").alias("n"))
 
@@ -81,6 +81,6 @@ def tf_idf(df: DataFrame, key: str, text: str) -> DataFrame:
     documents = df.agg(F.count("*")).scalar()
     bags = materialise(bag_of_words(df, key, text), "bags")
     frequency = materialise(bags.groupBy("token").agg(F.count("*").alias("df")), "frequency")
-    weighted = lookup_join(bags, frequency, "token", frequency, "df", "inner")
+    weighted = lookup_join(bags, frequency, "token", lambda: frequency, "df", "inner")
     idf = F.log((documents + 1) / (F.col("df") + 1))
     return weighted.select(key, "token", F.col("n").alias("tf"), "df", (F.col("n") * idf).alias("tfidf"))

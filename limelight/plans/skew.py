@@ -2,10 +2,20 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 HOT_FRACTION = 1000
+BROADCAST_ROWS = 500_000
+
+
+def broadcast_if_small(stored: DataFrame, same_size: DataFrame | None = None) -> tuple[DataFrame, bool]:
+    """A stored table (or one with no more rows than it) marked for broadcast if it has few enough rows."""
+    target = stored if same_size is None else same_size
+    small = stored.count() <= BROADCAST_ROWS
+    return (F.broadcast(target) if small else target), small
 
 
 def hot_keys(weights: DataFrame, weight: str, fraction: int = HOT_FRACTION) -> DataFrame:
@@ -14,14 +24,20 @@ def hot_keys(weights: DataFrame, weight: str, fraction: int = HOT_FRACTION) -> D
     return weights.filter(F.col(weight) * fraction >= total)
 
 
-def lookup_join(rows: DataFrame, lookup: DataFrame, key: str, weights: DataFrame, weight: str, how: str) -> DataFrame:
+def lookup_join(
+    rows: DataFrame, lookup: DataFrame, key: str, weights: Callable[[], DataFrame], weight: str, how: str
+) -> DataFrame:
     """`rows` joined with `lookup` (unique on `key`) by 'inner' or 'left'.
 
-    `weights` holds the number of rows per key. Rows with a hot key meet a broadcast copy of
-    the few hot lookup rows and are never shuffled; the others, each key under 1/1000 of
-    all rows, take the shuffled join. Pass stored `rows` and `weights`: they are read twice.
+    A small `lookup` is broadcast. Beyond that, rows with a hot key meet a broadcast copy of
+    the few hot lookup rows and are never shuffled; the others, each key under 1/1000 of all
+    rows, take the shuffled join. `weights` gives the number of rows per key; it is asked
+    for only then. Pass stored tables: they are read more than once.
     """
-    hot = F.broadcast(hot_keys(weights, weight).select(key))
+    sided, small = broadcast_if_small(lookup)
+    if small:
+        return rows.join(sided, key, how)
+    hot = F.broadcast(hot_keys(weights(), weight).select(key))
     hot_lookup = F.broadcast(lookup.join(hot, key, "left_semi"))
     hot_rows = rows if how == "inner" else rows.join(hot, key, "left_semi")
     cold_rows = rows.join(hot, key, "left_anti")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -20,9 +21,13 @@ def write_dataset(df: DataFrame, path: str, schema: T.StructType, records_per_fi
     write_text(df.sparkSession, f"{path}/{SCHEMA_FILE}", schema.json())
 
 
-def declared_schema(spark: SparkSession, path: str) -> T.StructType:
-    import json
+def append_rows(df: DataFrame, path: str, schema: T.StructType) -> None:
+    """Add rows to a data set in one job; creates it on the first call."""
+    conform(df, schema).write.mode("append").parquet(path)
+    write_text(df.sparkSession, f"{path}/{SCHEMA_FILE}", schema.json())
 
+
+def declared_schema(spark: SparkSession, path: str) -> T.StructType:
     return T.StructType.fromJson(json.loads(read_text(spark, f"{path}/{SCHEMA_FILE}")))
 
 

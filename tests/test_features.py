@@ -76,6 +76,14 @@ def test_conform_is_loud(spark):
             schema.conform(given, want)
 
 
+def test_conform_refuses_nulls_where_none_are_declared(spark):
+    want = T.StructType([T.StructField("a", T.LongType(), False)])
+    good = spark.createDataFrame([(1,), (2,)], "a int")
+    assert [r.a for r in schema.conform(good, want).collect()] == [1, 2]
+    with pytest.raises(Exception, match="null in a"):
+        schema.conform(good.union(spark.createDataFrame([(None,)], "a int")), want).collect()
+
+
 def test_sampling_ignores_layout(spark):
     df = spark.range(3000).withColumn("v", F.col("id") * 2)
     ids = lambda d: sorted(r.id for r in d.collect())

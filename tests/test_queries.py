@@ -13,7 +13,7 @@ TABLES = (
     "conversations"
 ).split()
 QUERIES, ORACLES = registry.queries(), registry.oracle_sql()
-ROWS_ONLY = {"quantile_bucket", "prepare_features", "leaderboard", "score", "importance", "stacked_score"}
+ROWS_ONLY = {"quantile_bucket", "leaderboard", "score", "importance", "stacked_score"}
 
 
 @pytest.fixture(scope="module")

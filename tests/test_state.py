@@ -4,6 +4,7 @@ from datetime import datetime
 from pyspark.sql import functions as F
 
 from limelight.operators import keyed, quality
+from limelight.plans import skew
 
 
 def test_latest_is_independent_of_order(spark):
@@ -47,7 +48,7 @@ def test_upsert_does_not_shuffle_the_stored_rows(spark, tmp_path, plan):
 
 
 def test_upsert_with_many_changes(spark, monkeypatch):
-    monkeypatch.setattr(keyed, "BROADCAST_ROWS", 10)
+    monkeypatch.setattr(skew, "BROADCAST_ROWS", 10)
     stored = spark.range(100).select("id", F.lit(1).alias("seq"))
     changes = spark.range(50, 150).select("id", F.when(F.col("id") % 2 == 0, 2).otherwise(0).alias("seq"))
     got = {r.id: r.seq for r in keyed.upsert(stored, changes, ["id"], ["seq"]).collect()}

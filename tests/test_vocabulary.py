@@ -5,9 +5,18 @@ from collections import Counter
 import pytest
 
 from limelight.operators import vocabulary as V
+from limelight.plans import skew
 from limelight.plans.skew import hot_keys, lookup_join
 
 
+@pytest.fixture(params=["broadcast", "split"], autouse=True)
+def join_path(request, monkeypatch):
+    """Both ways of the lookup join: the whole lookup broadcast, and hot and other keys apart."""
+    if request.param == "split":
+        monkeypatch.setattr(skew, "BROADCAST_ROWS", 0)
+    return request.param
+
+
 @pytest.fixture(scope="module")
 def corpus(spark):
     """'the' is in every text and makes up a third of all words."""
@@ -27,6 +36,7 @@ def split(text):
     return [w for w in text.lower().split(" ") if w]
 
 
+@pytest.mark.parametrize("join_path", ["broadcast"], indirect=True)
 def test_counts(corpus):
     texts, df = corpus
     bags = {d: Counter(split(t)) for d, t in texts.items()}
@@ -41,6 +51,7 @@ def test_counts(corpus):
     assert {r.bigram: r.n for r in V.bigram_counts(df, "doc", "text").collect()} == pairs
 
 
+@pytest.mark.parametrize("join_path", ["broadcast"], indirect=True)
 def test_vocabulary(corpus):
     texts, df = corpus
     frequency = Counter(w for t in texts.values() for w in set(split(t)))
@@ -92,12 +103,12 @@ def test_lemmas(spark, corpus):
     assert got == {(d, w): n for d, bag in bags.items() for w, n in bag.items()}
 
 
-def test_lookup_join_splits_hot_keys(spark):
+def test_lookup_join(spark):
     rows = [("hot", i) for i in range(500)] + [(f"k{i}", i) for i in range(1500)]
     df = spark.createDataFrame(rows, "k string, v int")
     lookup = spark.createDataFrame([("hot", 1)] + [(f"k{i}", i) for i in range(0, 1500, 2)], "k string, x int")
     weights = df.groupBy("k").count()
     assert [r.k for r in hot_keys(weights, "count").collect()] == ["hot"]
     for how in ("inner", "left"):
-        got = sorted(map(str, lookup_join(df, lookup, "k", weights, "count", how).collect()))
+        got = sorted(map(str, lookup_join(df, lookup, "k", lambda: weights, "count", how).collect()))
         assert got == sorted(map(str, df.join(lookup, "k", how).collect()))
