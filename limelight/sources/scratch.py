@@ -81,3 +81,8 @@ def child_names(spark: SparkSession, path: str) -> list[str]:
     if not fs.exists(target):
         return []
     return sorted(status.getPath().getName() for status in fs.listStatus(target))
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    fs, target = hadoop_path(spark, path)
+    fs.delete(target, True)

@@ -5,6 +5,17 @@ import pytest
 from pyspark.sql import functions as F
 
 from limelight.operators import ranges
+from limelight.plans.ordered import SLICE, running_value, sliced
+
+
+@pytest.fixture(params=["one slice", "many slices"])
+def slices(spark, request):
+    """Small data end up in one slice of the order unless Spark is kept from merging slices."""
+    name = "spark.sql.adaptive.coalescePartitions.enabled"
+    if request.param == "many slices":
+        spark.conf.set(name, "false")
+    yield 1 if request.param == "one slice" else 4
+    spark.conf.unset(name)
 
 
 def numbers(spark, values):
@@ -111,8 +122,29 @@ def test_time_breakdown_feeds_period_operators(spark):
     assert key(periods) == key(again)
 
 
-@pytest.mark.parametrize("seed", range(3))
-def test_count_per_period(spark, seed):
+def test_slices(spark, slices):
+    rows = sliced(spark.range(1000).select((F.col("id") * 7919 % 1000).alias("x")), ["x"])
+    ends = rows.groupBy(SLICE).agg(F.min("x").alias("lo"), F.max("x").alias("hi")).orderBy(SLICE).collect()
+    assert len(ends) == slices
+    assert all(a.hi < b.lo for a, b in zip(ends, ends[1:]))
+
+
+def test_running_values(spark, slices):
+    rng = random.Random(2)
+    values = [(i, rng.randrange(100), rng.randrange(50) if rng.random() < 0.3 else None) for i in range(500)]
+    df = spark.createDataFrame(values, "i int, n bigint, m int").repartition(3)
+    total, top = 0, None
+    sums = {r.i: r.out for r in running_value(df, ["i"], "sum", "n", "out").collect()}
+    tops = {r.i: r.out for r in running_value(df, ["i"], "max", "m", "out").collect()}
+    assert len(sums) == len(tops) == 500
+    for i, n, m in values:
+        total += n
+        top = m if top is None else top if m is None else max(top, m)
+        assert (sums[i], tops[i]) == (total, top)
+
+
+@pytest.mark.parametrize("seed", range(2))
+def test_count_per_period(spark, slices, seed):
     """Overlapping, empty, inverted and repeated periods; a third of the rows share an instant."""
     rng = random.Random(seed)
     times = [rng.randrange(200) for _ in range(200)] + [50] * 100
@@ -123,7 +155,7 @@ def test_count_per_period(spark, seed):
     assert got == {(at(a), at(b)): sum(a <= t < b for t in times) for a, b in set(periods)}
 
 
-def test_assign_periods(spark):
+def test_assign_periods(spark, slices):
     periods = [(0, 10), (10, 15), (30, 40)]
     times = [-1, 0, 9, 10, 14, 15, 29, 30, 39, 40, 100] + [12] * 50
     rows = spark.createDataFrame(
@@ -137,7 +169,7 @@ def test_assign_periods(spark):
         assert got[i] == want
 
 
-def test_batch_number_of_a_hot_key(spark):
+def test_batch_number_of_a_hot_key(spark, slices):
     """One key holds most rows and so spans several slices of the order."""
     rows = [("hot", i) for i in range(700)] + [("cold", i) for i in range(10)] + [(None, i) for i in range(30)]
     random.Random(1).shuffle(rows)
