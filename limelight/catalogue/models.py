@@ -75,7 +75,7 @@ def stacked_score(spark, sf_dir):
     train, test = _parts(spark, sf_dir)
     preparation = M.prepare_features(train, NUMBERS, CATEGORIES)
     rows = materialise(preparation.transform(train).select("name", "target", M.FEATURES), "prepared")
-    model = M.stack(rows, "name", M.candidates()[:2])
+    model = M.stack(rows, "name", M.candidates(codes=preparation.most_codes)[:2])
     return model.transform(preparation.transform(test)).select("name", "target", "prediction")
 
 

@@ -8,7 +8,7 @@ from dataclasses import dataclass, field
 
 from pyspark.ml import Estimator, Model, Pipeline, PipelineModel
 from pyspark.ml.evaluation import RegressionEvaluator
-from pyspark.ml.feature import Imputer, StringIndexer, VectorAssembler
+from pyspark.ml.feature import Imputer, StringIndexer, StringIndexerModel, VectorAssembler
 from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -19,6 +19,7 @@ from limelight.sources.scratch import materialise
 
 LABEL, FEATURES = "target", "features"
 MAX_CATEGORIES = 1000
+DEFAULT_BINS = 32
 METRICS = ("rmse", "mae", "r2")
 
 
@@ -31,6 +32,12 @@ class Preparation:
     indexed: list[str]
     hashed: list[str]
 
+    @property
+    def most_codes(self) -> int:
+        """Codes of the widest indexed column, the one for unknown values included."""
+        indexers = [stage for stage in self.model.stages if isinstance(stage, StringIndexerModel)]
+        return max((len(labels) + 1 for stage in indexers for labels in stage.labelsArray), default=0)
+
     @property
     def feature_names(self) -> list[str]:
         return [*self.numbers, *self.indexed, *self.hashed]
@@ -86,10 +93,14 @@ class Candidate:
     params: str
 
 
-def candidates(seed: int = 1, label: str = LABEL, max_categories: int = MAX_CATEGORIES) -> list[Candidate]:
-    """The models to try, quick ones first."""
+def candidates(seed: int = 1, label: str = LABEL, codes: int = 0) -> list[Candidate]:
+    """The models to try, quick ones first; `codes` is the size of the widest categorical feature.
+
+    A tree cannot split a category with more values than bins, and every bin costs memory
+    and traffic at each level, so there are no more of them than needed.
+    """
     common = {"featuresCol": FEATURES, "labelCol": label}
-    trees = {**common, "seed": seed, "maxBins": max_categories + 2}
+    trees = {**common, "seed": seed, "maxBins": max(DEFAULT_BINS, codes)}
     grid: list[tuple[str, type, dict, dict]] = [
         ("linear", LinearRegression, common, {"regParam": 0.0}),
         ("forest-20", RandomForestRegressor, trees, {"numTrees": 20, "maxDepth": 5}),

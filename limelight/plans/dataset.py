@@ -96,7 +96,7 @@ class ModelSearch:
 
     def train_models(self, max_runtime: float | None = None, max_models: int = 0) -> DataFrame:
         """Train and rank; returns the test set with the predictions of the best model."""
-        options = M.candidates(self.seed, self.label)
+        options = M.candidates(self.seed, self.label, self.preparation.most_codes)
         fitted = M.train_candidates(self.train, options, max_runtime, max_models)
         self.ranked = M.rank(fitted, self.test, self.label)
         return self.score(self.test)

@@ -38,6 +38,14 @@ def test_preparation(spark, parts):
     assert not any(math.isnan(x) for v in vectors for x in v)
 
 
+def test_many_categories_need_as_many_bins(spark):
+    rows = spark.range(400).select((F.col("id") % 90).cast("string").alias("c"), (F.col("id") % 90 * 1.0).alias("target"))
+    search = ModelSearch(rows, rows, numbers=[], categories=["c"])
+    assert search.preparation.most_codes == 91
+    search.train_models(max_models=2)
+    assert search.ranked[0].model_id == "forest-20"
+
+
 def test_search(spark, parts):
     search = ModelSearch(*parts, numbers=["a", "b"], categories=["c"])
     scored = search.train_models(max_models=3)
