@@ -15,9 +15,11 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from limelight.plans.skew import broadcast_if_small
 from limelight.sources.scratch import materialise
 
 SLICE = "__slice"
+POSITION_BITS = 33  # monotonically_increasing_id: partition number above, row number below
 
 
 def sliced(df: DataFrame, order: Sequence[str | Column]) -> DataFrame:
@@ -53,21 +55,22 @@ def running_value(df: DataFrame, order: Sequence[str | Column], kind: str, value
 def running_number(df: DataFrame, keys: Sequence[str], order: Sequence[str], out: str) -> DataFrame:
     """1-based place of each row within its key; a key may be spread over many slices.
 
-    `order` must be unique within a key.
+    `order` must be unique within a key. Rows are stored in order with their position, whose
+    high bits are the slice. What is left to find out is where each key begins in each slice,
+    a table of one row per key plus one per slice at most.
     """
-    rows = sliced(df, [*keys, *order])
-    counts = rows.groupBy(*keys, SLICE).agg(F.count("*").alias("__n"))
+    placed = df.repartitionByRange(*keys, *order).sortWithinPartitions(*keys, *order)
+    rows = materialise(placed.withColumn("__at", F.monotonically_increasing_id()), "placed")
+    rows = rows.withColumn(SLICE, F.shiftright("__at", POSITION_BITS))
+    runs = rows.groupBy(*keys, SLICE).agg(F.min("__at").alias("__first"), F.count("*").alias("__n"))
     earlier = Window.partitionBy(*keys).orderBy(SLICE).rowsBetween(Window.unboundedPreceding, -1)
-    # A slice can continue one key only, its first: at most one row per slice survives.
-    continued = (
-        counts.withColumn("__before", F.sum("__n").over(earlier)).filter("__before > 0").drop("__n").alias("c")
-    )
-    here = Window.partitionBy(*keys, SLICE).orderBy(*order)
-    numbered = rows.withColumn("__here", F.row_number().over(here)).alias("r")
-    same = F.col(f"r.{SLICE}") == F.col(f"c.{SLICE}")
+    before = F.coalesce(F.sum("__n").over(earlier), F.lit(0))
+    starts = runs.select(*keys, SLICE, (F.col("__first") - before).alias("__start"))
+    starts, _ = broadcast_if_small(materialise(starts, "starts"))
+    same = F.col(f"r.{SLICE}") == F.col(f"s.{SLICE}")
     for key in keys:
-        same &= F.col(f"r.{key}").eqNullSafe(F.col(f"c.{key}"))
-    number = F.col("__here") + F.coalesce("__before", F.lit(0))
-    return numbered.join(F.broadcast(continued), same, "left").select(
-        *[F.col(f"r.{c}") for c in df.columns], number.cast("bigint").alias(out)
+        same &= F.col(f"r.{key}").eqNullSafe(F.col(f"s.{key}"))
+    number = F.col("__at") - F.col("__start") + 1
+    return (
+        rows.alias("r").join(starts.alias("s"), same).select(*[F.col(f"r.{c}") for c in df.columns], number.alias(out))
     )

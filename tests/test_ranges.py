@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from limelight.operators import ranges
+from limelight.plans import skew
 from limelight.plans.ordered import SLICE, running_value, sliced
 
 
@@ -179,6 +180,14 @@ def test_batch_number_of_a_hot_key(spark, slices):
     assert all(r.batch == r.i // 20 for r in got)
 
 
+def test_batch_number_with_more_keys_than_fit_a_broadcast(spark, slices, monkeypatch):
+    monkeypatch.setattr(skew, "BROADCAST_ROWS", 3)
+    rows = [(k, i) for k in range(50) for i in range(7)] + [(None, i) for i in range(200)]
+    random.Random(4).shuffle(rows)
+    got = ranges.batch_number(spark.createDataFrame(rows, "k int, i bigint"), ["k"], ["i"], 3).collect()
+    assert len(got) == len(rows) and all(r.batch == r.i // 3 for r in got)
+
+
 def test_merge_batches_first_wins(spark):
     a = spark.createDataFrame([("x", 1), ("y", 1)], "id string, v int")
     b = spark.createDataFrame([("y", 2), ("z", 2)], "id string, v int")
