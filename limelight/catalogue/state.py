@@ -8,6 +8,9 @@ from pyspark.sql import functions as F
 from limelight.catalogue.fixtures import DAYS_SQL, days, ntz, table
 from limelight.catalogue.registry import query
 from limelight.operators import keyed
+from limelight.schema import HISTORY
+from limelight.sources.datasets import append_rows, read_dataset
+from limelight.sources.scratch import scratch_path
 
 LATEST_SQL = """SELECT conv_id, turn, role, text FROM
     (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS n FROM conversations) WHERE n = 1"""
@@ -64,7 +67,10 @@ def _progress(spark, sf_dir) -> DataFrame:
 
 @query(f"SELECT startdate, enddate, true AS nextpage, NULL::VARCHAR AS after FROM ({DAYS_SQL})")
 def seed_ledger(spark, sf_dir):
-    return _zoneless(keyed.seed_ledger(days(spark, sf_dir)))
+    """The stored ledger before anything has been read."""
+    path = scratch_path(spark, "ledger")
+    append_rows(keyed.seed_ledger(days(spark, sf_dir)), path, HISTORY)
+    return _zoneless(read_dataset(spark, path))
 
 
 LEDGER_SQL = f"""SELECT d.startdate, d.enddate, coalesce(p.nextpage, true) AS nextpage, p.after

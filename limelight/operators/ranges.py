@@ -16,7 +16,7 @@ RANGE_LIMIT = 1000
 BATCH_SIZE = 300
 
 MIN_LEVELS_PER_PASS, MAX_LEVELS_PER_PASS = 12, 20
-_STEP = 15
+MAX_LEVELS = 56
 
 
 def _levels(width: int) -> int:
@@ -24,16 +24,16 @@ def _levels(width: int) -> int:
     return max(width - 1, 0).bit_length()
 
 
-def _cell(position: Column, width: Column, level: int) -> Column:
+def _cell(position: Column, width: Column, level: int, step: int) -> Column:
     """Number of the 2^level-th part of [0, width) holding `position`, exactly floor(position * 2^level / width).
 
-    Done `_STEP` binary digits at a time, long-division style, because the full product
-    would not fit into 64 bits. `width` must be below 2^48 (almost nine years in microseconds).
+    Done `step` binary digits at a time, long-division style, because the full product would
+    not fit into 64 bits.
     """
     cell, rest = F.lit(0).cast("bigint"), position
     done = 0
     while done < level:
-        digits = min(_STEP, level - done)
+        digits = min(step, level - done)
         scaled = rest * (1 << digits)
         cell = cell * (1 << digits) + F.call_function("div", scaled, width)
         rest = scaled % width
@@ -64,7 +64,7 @@ def range_breakdown(
 
     One pass counts the rows in cells fine enough for an even spread and adds the counts up
     the tree of halves. Only where a cell of that pass is still too full is the axis counted
-    again, with finer cells: at most four passes for any span and any skew. Counts are
+    again, with finer cells: at most five passes for any span and any skew. Counts are
     pre-aggregated before each shuffle, so a crowded instant is one row per task.
     """
     points = df.select(axis.cast("bigint").alias("x"), *([] if lo is None else [lo.alias("lo"), hi.alias("hi")]))
@@ -78,9 +78,10 @@ def range_breakdown(
         widest, n = points.agg(F.max("width"), F.count("*")).first()
     if n == 0:
         return df.sparkSession.createDataFrame([], "start bigint, end bigint, num bigint, depth int, overflow boolean")
-    if widest >= 1 << 48:
-        raise ValueError("the axis spans 2^48 units or more; use a coarser unit")
     deepest = _levels(widest)
+    if deepest > MAX_LEVELS:
+        raise ValueError(f"the axis spans more than 2^{MAX_LEVELS} units; use a coarser unit")
+    step = 62 - deepest
     needed = (n // max(limit, 1)).bit_length() + 3
     per_pass = min(MAX_LEVELS_PER_PASS, max(MIN_LEVELS_PER_PASS, needed))
 
@@ -88,7 +89,7 @@ def range_breakdown(
     top, crowded = 0, None
     while True:
         bottom = min(top + per_pass, deepest)
-        cell = _cell(F.col("x") - F.col("lo"), F.col("width"), bottom)
+        cell = _cell(F.col("x") - F.col("lo"), F.col("width"), bottom, step)
         counts = points.groupBy("lo", "width", cell.alias("cell")).agg(F.count("*").alias("n"))
         if crowded is not None:
             counts = counts.withColumn("root", F.shiftright("cell", bottom - top)).join(

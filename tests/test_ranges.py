@@ -60,6 +60,7 @@ CASES = {
     "all in one instant": ([7] * 9, 5),
     "negative axis": (list(range(-50, 50, 3)), 4),
     "nine years of microseconds": ([0, 1, 2, 3, 4, 5, (1 << 48) - 2], 3),
+    "a thousand years of microseconds": ([-5, 1, 1, 2, 3, 1 << 40, (1 << 40) + 1, (1 << 55) - 9], 2),
 }
 
 
@@ -107,7 +108,7 @@ def test_initial_ranges_are_halved_separately(spark):
 
 def test_breakdown_refuses_too_wide_an_axis(spark):
     with pytest.raises(ValueError):
-        ranges.range_breakdown(numbers(spark, [0, 1 << 48]), F.col("x"))
+        ranges.range_breakdown(numbers(spark, [0, 1 << 56]), F.col("x"))
 
 
 def at(minutes):
