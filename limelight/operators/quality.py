@@ -9,6 +9,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from limelight.schema import COUNT_DEFAULTS, FLAG_COLUMNS
+
 
 @dataclass(frozen=True)
 class PrimaryKey:
@@ -86,5 +88,17 @@ def audit_constraints(df: DataFrame, rules: Sequence) -> DataFrame:
     return reduce(DataFrame.unionByName, parts)
 
 
+def repository_rules() -> list:
+    """The constraints of the stored repositories."""
+    counts = [Check(f"{c} >= 0", F.col(c) >= 0) for c in COUNT_DEFAULTS]
+    return [PrimaryKey(["id"]), NotNull("name"), *[NotNull(c) for c in FLAG_COLUMNS], *counts]
+
+
+def ledger_rules(periods: DataFrame) -> list:
+    """The constraints of the ledger, whose periods must be known."""
+    key = ["startdate", "enddate"]
+    return [PrimaryKey(key), NotNull("nextpage"), ForeignKey(key, periods, key)]
+
+
 def fill_defaults(df: DataFrame, defaults: dict[str, object]) -> DataFrame:
     return df.withColumns({c: F.coalesce(F.col(c), F.lit(v)) for c, v in defaults.items()})
