@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from limelight.functions.text import bigrams, tokens
 from limelight.plans.layout import spread
-from limelight.plans.skew import lookup_join
+from limelight.plans.skew import broadcast_if_small, lookup_join
 from limelight.sources.scratch import materialise
 
 
@@ -69,10 +69,18 @@ def lemma_counts(df: DataFrame, key: str, text: str, dictionary: DataFrame) -> D
 
 
 def lemma_bags(df: DataFrame, key: str, text: str, dictionary: DataFrame) -> DataFrame:
-    """`bag_of_words` over lemmas; pass a stored `dictionary`."""
-    bags = materialise(bag_of_words(df, key, text), "bags")
-    weights = lambda: materialise(bags.groupBy("token").agg(F.count("*").alias("df")), "weights")
-    found = lookup_join(bags, dictionary, "token", weights, "df", "left")
+    """`bag_of_words` over lemmas; pass a stored `dictionary`.
+
+    A small dictionary is broadcast to the tokens, which are then counted once. A large one
+    meets the counted tokens of each document, which are far fewer rows to shuffle.
+    """
+    sided, small = broadcast_if_small(dictionary)
+    if small:
+        found = token_rows(df, key, text).withColumn("n", F.lit(1)).join(sided, "token", "left")
+    else:
+        bags = materialise(bag_of_words(df, key, text), "bags")
+        weights = lambda: materialise(bags.groupBy("token").agg(F.count("*").alias("df")), "weights")
+        found = lookup_join(bags, dictionary, "token", weights, "df", "left")
     return found.groupBy(key, F.coalesce("lemma", "token").alias("lemma")).agg(F.sum("n").alias("n"))
 
 
