@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
-from limelight.llm import byte_bpe, simhash, toxicity  # noqa: E402
+from limelight.llm import byte_bpe, decontamination, simhash, suffix_dedup, toxicity  # noqa: E402
 from limelight.llm.common import table  # noqa: E402
 from limelight.sources.scratch import materialise  # noqa: E402
 
@@ -36,6 +36,18 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     return docs.join(copies, "doc_id", "left_anti").select(COLUMNS)
 
 
+def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents without byte strings that occur twice; a document may be left with an empty text."""
+    left = suffix_dedup.trimmed(docs, "lang", "source")
+    return left.withColumn("n_chars", F.length("text").cast("bigint")).select(COLUMNS)
+
+
+def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without a window of a benchmark item."""
+    leaks = decontamination.contamination(docs, table(spark, sf_dir, "benchmark")).filter("size(hits) > 0")
+    return docs.join(leaks.select("doc_id").distinct(), "doc_id", "left_anti").select(COLUMNS)
+
+
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Tokens of every document left."""
     import public_tokenizers
@@ -47,6 +59,8 @@ def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 STAGES = [
     ("toxicity", drop_toxic),
     ("simhash_near_dedup", drop_near_copies),
+    ("suffix_array_dedup", cut_repeats),
+    ("decontamination", drop_leaks),
     ("byte_bpe", encode),
 ]
 

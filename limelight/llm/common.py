@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from limelight.sources.scratch import materialise
 
 UPPER = bytes(range(65, 91))
 LOWER_TABLE = bytes.maketrans(UPPER, UPPER.lower())
@@ -65,4 +67,16 @@ def ddl(schema: pa.Schema) -> str:
     return ", ".join(f"`{f.name}` {kinds[str(f.type)]}" for f in schema)
 
 
-SPACE = re.compile(r"[ \t-\r]+")
+def row_keyed(docs: DataFrame, *more: str) -> DataFrame:
+    """(row, doc_id, text, *more) with a `row` that is never null and unique.
+
+    That is doc_id itself where it can serve; if it has nulls or repeats, the rows are written once with numbers
+    of their own, because such numbers must not change between two reads.
+    """
+    source = docs.select(
+        F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"), *more
+    )
+    clashes = source.groupBy("doc_id").count().filter("doc_id IS NULL OR count > 1")
+    if clashes.isEmpty():
+        return source.select(F.col("doc_id").alias("row"), "*")
+    return materialise(source.select(F.monotonically_increasing_id().alias("row"), "*"), "rows")

@@ -6,9 +6,39 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from limelight.llm import byte_bpe, simhash, toxicity
+from limelight.llm import byte_bpe, decontamination, simhash, suffix_dedup, toxicity
 from limelight.llm.common import table
 
+OP6 = r"""
+WITH d AS (
+    SELECT rowid_ AS row, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+           '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+    FROM (SELECT row_number() OVER () AS rowid_, doc_id, text FROM documents)
+), b AS (
+    SELECT item_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+           '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+    FROM benchmark
+), p AS (
+    SELECT DISTINCT item_id, least(len(w), 10) AS m, array_to_string(w[i : i + least(len(w), 10) - 1], ' ') AS phrase
+    FROM (SELECT item_id, w, unnest(range(1, greatest(len(w) - 10, 0) + 2)) AS i FROM b WHERE len(w) > 0)
+), s AS (
+    SELECT row, m, i, array_to_string(w[i : i + m - 1], ' ') AS phrase
+    FROM (SELECT row, w, m, unnest(range(1, len(w) - m + 2)) AS i
+          FROM d, (SELECT DISTINCT m FROM p) WHERE len(w) >= m)
+), hit AS (
+    SELECT row, s.m, i, item_id FROM s JOIN p ON s.phrase = p.phrase AND s.m = p.m
+), words AS (
+    SELECT row, count(DISTINCT pos) AS n_hit FROM (SELECT row, unnest(range(i, i + m)) AS pos FROM hit) GROUP BY row
+), items AS (
+    SELECT row, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS names
+    FROM (SELECT DISTINCT row, item_id::VARCHAR AS item FROM hit) GROUP BY row
+)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit,
+       coalesce(n_items, 0)::BIGINT AS n_items, sha256(coalesce(names, '')) AS items_sha256,
+       coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN words USING (row) LEFT JOIN items USING (row)
+"""
+
 Query = Callable[[SparkSession, str], DataFrame]
 
 
@@ -19,10 +49,18 @@ def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.encode_digests(table(spark, sf_dir, "documents"), vocabulary, public_tokenizers.PATTERN)
 
 
+def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.contamination_digests(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.removal_digests(table(spark, sf_dir, "documents"))
+
+
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -30,10 +68,12 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 def runnable() -> dict[str, Query]:
     return {
         "op4_byte_bpe": op4_byte_bpe,
+        "op6_decontamination": op6_decontamination,
         "op7_toxicity": op7_toxicity,
+        "op9_suffix_dedup": op9_suffix_dedup,
         "op10_simhash": op10_simhash,
     }
 
 
 def oracles() -> dict[str, str]:
-    return {}
+    return {"op6_decontamination": OP6}
