@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from limelight.llm import byte_bpe, decontamination, simhash, suffix_dedup, toxicity
+from limelight.llm import byte_bpe, decontamination, hilbert, merkle, simhash, suffix_dedup, toxicity, warc
 from limelight.llm.common import table
 
 OP6 = r"""
@@ -39,9 +39,29 @@ SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit,
 FROM d LEFT JOIN words USING (row) LEFT JOIN items USING (row)
 """
 
+OP8 = """
+WITH p AS (
+    SELECT page_id, coalesce(html, '') AS payload, octet_length(encode(coalesce(html, '')))::BIGINT AS payload_bytes,
+           sha256(coalesce(html, '')) AS payload_digest
+    FROM pages
+), f AS (SELECT *, min(page_id) OVER (PARTITION BY payload_digest) AS first FROM p)
+SELECT page_id, payload_bytes, payload_digest,
+       CASE WHEN payload_bytes >= 100 AND page_id > first THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN payload_bytes >= 100 AND page_id > first THEN first END AS refers_to
+FROM f
+"""
+
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op1_hilbert_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hilbert.shard_documents(table(spark, sf_dir, "documents"))
+
+
+def op3_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.fingerprints(table(spark, sf_dir, "documents"))
+
+
 def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -57,6 +77,10 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.archive_and_read(table(spark, sf_dir, "pages"))
+
+
 def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.removal_digests(table(spark, sf_dir, "documents"))
 
@@ -67,13 +91,16 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def runnable() -> dict[str, Query]:
     return {
+        "op1_hilbert_shards": op1_hilbert_shards,
+        "op3_merkle": op3_merkle,
         "op4_byte_bpe": op4_byte_bpe,
         "op6_decontamination": op6_decontamination,
         "op7_toxicity": op7_toxicity,
+        "op8_warc": op8_warc,
         "op9_suffix_dedup": op9_suffix_dedup,
         "op10_simhash": op10_simhash,
     }
 
 
 def oracles() -> dict[str, str]:
-    return {"op6_decontamination": OP6}
+    return {"op6_decontamination": OP6, "op8_warc": OP8}
