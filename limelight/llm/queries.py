@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from limelight.llm import byte_bpe, decontamination, hilbert, merkle, simhash, suffix_dedup, toxicity, warc
+from limelight.llm import byte_bpe, decontamination, hilbert, merkle, simhash, suffix_dedup, suffix_tree_lm, toxicity, warc
 from limelight.llm.common import table
 
 OP6 = r"""
@@ -69,6 +69,10 @@ def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.encode_digests(table(spark, sf_dir, "documents"), vocabulary, public_tokenizers.PATTERN)
 
 
+def op5_suffix_tree_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_tree_lm.score(table(spark, sf_dir, "documents"))
+
+
 def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.contamination_digests(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -94,6 +98,7 @@ def runnable() -> dict[str, Query]:
         "op1_hilbert_shards": op1_hilbert_shards,
         "op3_merkle": op3_merkle,
         "op4_byte_bpe": op4_byte_bpe,
+        "op5_suffix_tree_lm": op5_suffix_tree_lm,
         "op6_decontamination": op6_decontamination,
         "op7_toxicity": op7_toxicity,
         "op8_warc": op8_warc,
