@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from limelight.llm.common import ddl, plain_words, record_batch, values
 
-MAX_LABELLED = 12_000
+MAX_LABELLED = 5_000
 DIMENSIONS = 1 << 18
 PREFIXES = (3, 4, 5, 6)
 PRIOR, LEAST_EVIDENCE = 10.0, 1.0
@@ -89,8 +89,13 @@ def _features(labelled: DataFrame, swap: dict[bytes, bytes]) -> DataFrame:
     return labelled.mapInArrow(run, ddl(FEATURES))
 
 
+def _arrays(column: pa.ChunkedArray) -> list[np.ndarray | None]:
+    """Views of the lists of a column; no Python object per number."""
+    return [item.values.to_numpy() if item.is_valid else None for chunk in column.chunks for item in chunk]
+
+
 def _flat(rows: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    owner = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
+    owner = np.repeat(np.arange(len(rows), dtype=np.int32), [len(r) for r in rows])
     return owner, np.concatenate(rows) if rows else np.zeros(0, np.int32)
 
 
@@ -169,10 +174,9 @@ def train(
     chosen = marks.join(known, "doc_id", "left_semi").orderBy(order, "doc_id").limit(most)
     texts = docs.select("doc_id", F.col("text").cast("string").alias("text"))
     picked = texts.join(F.broadcast(chosen), "doc_id")  # at most `most` short rows
-    found = _features(picked.select("y", "text"), swaps(terms)).toPandas()
-    twins = [None if t is None else np.asarray(t, dtype=np.int32) for t in found["twin"]]
-    x = [np.asarray(v, dtype=np.int32) for v in found["x"]]
-    return fit(found["y"].to_numpy(dtype=float), x, twins, penalty)
+    found = _features(picked.select("y", "text"), swaps(terms)).toArrow()
+    x, twins = _arrays(found["x"]), _arrays(found["twin"])
+    return fit(found["y"].to_numpy().astype(float), x, twins, penalty)
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
