@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from limelight.llm import byte_bpe, decontamination, hilbert, merkle, simhash, suffix_dedup, suffix_tree_lm, toxicity, warc
+from limelight.llm import byte_bpe, decontamination, hilbert, license_scan, merkle, simhash, suffix_dedup, suffix_tree_lm, toxicity, warc
 from limelight.llm.common import table
 
 OP6 = r"""
@@ -58,6 +58,10 @@ def op1_hilbert_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hilbert.shard_documents(table(spark, sf_dir, "documents"))
 
 
+def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan(table(spark, sf_dir, "documents"))
+
+
 def op3_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.fingerprints(table(spark, sf_dir, "documents"))
 
@@ -96,6 +100,7 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 def runnable() -> dict[str, Query]:
     return {
         "op1_hilbert_shards": op1_hilbert_shards,
+        "op2_license_scan": op2_license_scan,
         "op3_merkle": op3_merkle,
         "op4_byte_bpe": op4_byte_bpe,
         "op5_suffix_tree_lm": op5_suffix_tree_lm,
@@ -108,4 +113,4 @@ def runnable() -> dict[str, Query]:
 
 
 def oracles() -> dict[str, str]:
-    return {"op6_decontamination": OP6, "op8_warc": OP8}
+    return {"op2_license_scan": license_scan.oracle(), "op6_decontamination": OP6, "op8_warc": OP8}
