@@ -2,7 +2,7 @@
 
 Merges come out of a queue that is a hierarchical bitmap over merge ranks: every rank has a
 bucket of linked-list positions, a set bit says that the bucket is not empty, and find-first-set on
-at most three words gives the next rank. Entries are never removed; one whose pair has changed
+two words gives the next rank. Entries are never removed; one whose pair has changed
 meanwhile is stale and skipped when it comes up. A pre-token of n bytes takes O(n log n) steps at worst
 (the log is for ties within a bucket), so a megabyte without a space is no problem.
 """
@@ -13,6 +13,7 @@ import base64
 import hashlib
 from collections.abc import Iterator
 from heapq import heappop, heappush
+from struct import pack
 
 import numpy as np
 import pyarrow as pa
@@ -21,7 +22,8 @@ from pyspark.sql import functions as F
 
 from limelight.llm.common import ddl, record_batch, values
 
-MEMO_ENTRIES = 200_000
+WORD = 8  # a bitmap word has 2 ** WORD bits
+MEMO_ENTRIES = 150_000
 MEMO_LENGTH = 48  # characters; longer pre-tokens are encoded each time
 
 
@@ -31,102 +33,96 @@ def load_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(token): int(rank) for token, rank in (line.split() for line in lines if line.strip())}
 
 
-class RankQueue:
-    """Positions by rank; `pop` gives the leftmost position of the lowest rank."""
-
-    def __init__(self, ranks: int):
-        self.levels = [[0] * (-(-ranks // 64) or 1)]
-        while len(self.levels[-1]) > 1:
-            self.levels.append([0] * -(-len(self.levels[-1]) // 64))
-        self.buckets: dict[int, list[int]] = {}
-
-    def push(self, rank: int, position: int) -> None:
-        bucket = self.buckets.get(rank)
-        if bucket:
-            heappush(bucket, position)
-            return
-        self.buckets[rank] = [position]
-        for level in self.levels:
-            word, bit = rank >> 6, 1 << (rank & 63)
-            seen = level[word]
-            level[word] = seen | bit
-            if seen:
-                return
-            rank = word
-
-    def pop(self) -> tuple[int, int] | None:
-        if not self.levels[-1][0]:
-            return None
-        rank = 0
-        for level in reversed(self.levels):
-            word = level[rank]
-            rank = rank << 6 | (word & -word).bit_length() - 1
-        bucket = self.buckets[rank]
-        position = heappop(bucket)
-        if not bucket:
-            at = rank
-            for level in self.levels:
-                level[at >> 6] &= ~(1 << (at & 63))
-                if level[at >> 6]:
-                    break
-                at >>= 6
-        return rank, position
+class Encoder:
+    """Encodes pre-tokens by their merge ranks.
 
+    The queue has two levels of bitmaps: a bit of `words` for each rank with a bucket, a bit of the top word for each
+    word that is not zero. The lowest bit of a number n is that of n & -n.
+    """
 
-class Encoder:
     def __init__(self, ranks: dict[bytes, int]):
         self.ranks = ranks
-        self.queue = RankQueue(max(ranks.values()) + 1)
+        self.words = [0] * ((max(ranks.values()) >> WORD) + 1)
+        self.bits = [1 << i for i in range(max(1 << WORD, len(self.words)))]
 
     def encode(self, piece: bytes) -> list[int]:
-        """Token ids of one pre-token."""
-        ranks = self.ranks
-        if piece in ranks:
-            return [ranks[piece]]
-        n = len(piece)
+        """Token ids of one pre-token. Of equal ranks the leftmost is merged first, so buckets are heaps."""
+        rank_of = self.ranks.get
+        whole = rank_of(piece)
+        if whole is not None:
+            return [whole]
+        n, words, bits, low = len(piece), self.words, self.bits, (1 << WORD) - 1
         after = list(range(1, n + 1))  # start of the next symbol
         before = list(range(-1, n - 1))
         pair = [-1] * n  # rank of the merge of the symbol at i with the next one
-        queue = self.queue
+        buckets: dict[int, list[int]] = {}
+        top = 0
         for i in range(n - 1):
-            rank = ranks.get(piece[i : i + 2])
-            if rank is not None:
-                pair[i] = rank
-                queue.push(rank, i)
-        while top := queue.pop():
-            rank, i = top
+            rank = rank_of(piece[i : i + 2])
+            if rank is None:
+                continue
+            pair[i] = rank
+            if rank in buckets:
+                buckets[rank].append(i)  # ascending, hence a heap
+            else:
+                buckets[rank] = [i]
+                words[rank >> WORD] |= bits[rank & low]
+                top |= bits[rank >> WORD]
+        while top:
+            word = (top & -top).bit_length() - 1
+            bitmap = words[word]
+            rank = word << WORD | (bitmap & -bitmap).bit_length() - 1
+            bucket = buckets[rank]
+            i = heappop(bucket)
+            if not bucket:
+                del buckets[rank]
+                words[word] = bitmap = bitmap ^ bits[rank & low]
+                if not bitmap:
+                    top ^= bits[word]
             if pair[i] != rank:
                 continue  # stale
             gone = after[i]
-            end = after[gone]
-            after[i], pair[gone] = end, -1
+            end = after[i] = after[gone]
+            pair[gone] = -1
             if end < n:
                 before[end] = i
             for at in (before[i], i):
-                if at >= 0:
-                    last = after[at]
-                    merged = ranks.get(piece[at : after[last]]) if last < n else None
-                    pair[at] = -1 if merged is None else merged
-                    if merged is not None:
-                        queue.push(merged, at)
+                if at < 0:
+                    continue
+                last = after[at]
+                merged = rank_of(piece[at : after[last]]) if last < n else None
+                if merged is None:
+                    pair[at] = -1
+                    continue
+                pair[at] = merged
+                if merged in buckets:
+                    heappush(buckets[merged], at)
+                else:
+                    buckets[merged] = [at]
+                    words[merged >> WORD] |= bits[merged & low]
+                    top |= bits[merged >> WORD]
         ids, i = [], 0
         while i < n:
-            ids.append(ranks[piece[i : after[i]]])
+            ids.append(self.ranks[piece[i : after[i]]])
             i = after[i]
         return ids
 
 
 class Memo(dict):
-    """Little-endian ids by pre-token. Starts anew when full, so its size is bounded."""
+    """Little-endian ids by pre-token, in two generations: when the younger is full the older goes, so size is bounded."""
 
     def __init__(self, encoder: Encoder):
         super().__init__()
-        self.encoder = encoder
+        self.encoder, self.older = encoder, {}
 
     def __missing__(self, piece: str) -> bytes:
-        ids = np.array(self.encoder.encode(piece.encode()), dtype="<u4").tobytes()
+        ids = self.older.get(piece)
+        if ids is None:
+            found = self.encoder.encode(piece.encode())
+            ids = pack(f"<{len(found)}I", *found)
         if len(piece) <= MEMO_LENGTH:
             if len(self) >= MEMO_ENTRIES:
+                self.older = dict(self)
                 self.clear()
             self[piece] = ids
         return ids

@@ -31,15 +31,18 @@ def as_number(df: DataFrame, name: str) -> Column:
 
 
 def quantised(df: DataFrame, dimensions: list[str], bits: int) -> dict[str, Column]:
-    """Cell 0 to 2^bits - 1 of every dimension: the number of quantiles below the value; nulls are in cell 0."""
+    """Cell 0 to 2^bits - 1 of every dimension: the number of quantiles below the value; nulls are in cell 0.
+
+    A dimension without any value has no cells and does not count.
+    """
     steps = [i / (1 << bits) for i in range(1, 1 << bits)]
     numbers = {name: as_number(df, name) for name in dimensions}
     asked = [F.percentile_approx(c, steps, ACCURACY).alias(f"q{i}") for i, c in enumerate(numbers.values())]
     found = df.select(*asked).first()  # 2^bits - 1 numbers a dimension
     cells = {}
     for (name, c), cuts in zip(numbers.items(), found):
-        below = [F.when(c > cut, 1).otherwise(0) for cut in sorted(set(cuts or ()))]
-        cells[name] = reduce(add, below) if below else F.lit(0)
+        if cuts:
+            cells[name] = reduce(add, [F.when(c > cut, 1).otherwise(0) for cut in sorted(set(cuts))])
     return cells
 
 
@@ -49,6 +52,8 @@ def hilbert_index(df: DataFrame, cells: dict[str, Column], bits: int, out: str)
     From the highest bit down, each dimension either inverts or swaps the lower bits of the first one; a Gray
     code follows, and the bits interleave. Every step is a projection, so no expression is written out twice.
     """
+    if not cells:
+        return df.withColumn(out, F.lit(0).cast("bigint"))
     names = [f"__axis{i}" for i in range(len(cells))]
     df = df.withColumns({n: c.cast("bigint") for n, c in zip(names, cells.values())})
     first = F.col(names[0])

@@ -109,13 +109,9 @@ def _open(uri: str):
 
 def split_stream(pieces: Iterator[bytes]) -> Iterator[bytes]:
     """Records, each with its end, from the pieces of one gzip stream (or several one after another)."""
-    inflate, held = zlib.decompressobj(wbits=31), bytearray()
-    for piece in pieces:
-        while piece:
-            held += inflate.decompress(piece)
-            piece = inflate.unused_data
-            if inflate.eof:
-                inflate = zlib.decompressobj(wbits=31)
+    held = bytearray()
+    for data in _inflated(pieces):
+        held += data
         at = 0
         while (stop := _record_end(held, at)) is not None:
             yield bytes(held[at:stop])
@@ -125,6 +121,18 @@ def split_stream(pieces: Iterator[bytes]) -> Iterator[bytes]:
         raise ValueError(f"{len(held)} bytes after the last record")
 
 
+def _inflated(pieces: Iterator[bytes]) -> Iterator[bytes]:
+    """What the pieces hold, PIECE bytes at a time however well they are compressed."""
+    inflate = zlib.decompressobj(wbits=31)
+    for piece in pieces:
+        while piece:
+            yield inflate.decompress(piece, PIECE)
+            piece = inflate.unconsumed_tail
+            if inflate.eof:
+                piece, inflate = inflate.unused_data, zlib.decompressobj(wbits=31)
+    yield inflate.flush()
+
+
 def _record_end(data: bytearray, at: int) -> int | None:
     head = data.find(END.encode(), at)
     if head < 0:
