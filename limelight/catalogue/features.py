@@ -21,7 +21,7 @@ SELECT name, description, topics, license, readme, primarylanguage, createddate,
        {FLAG_SQL.format("fork")}, {FLAG_SQL.format("archived")}, {FLAG_SQL.format("locked")}, commits,
        round((stars - lo)::DOUBLE / (hi - lo), 6) AS target,
        coalesce(regexp_extract(readme, '^#+.*', 0), '') AS titles, length(readme)::INTEGER AS length,
-       CASE WHEN ('0x' || substring(sha256('1:' || id), 1, 8))::BIGINT < 3435973837 THEN 'train' ELSE 'test' END
+       CASE WHEN ('0x' || substring(sha256('split:1:' || id), 1, 8))::BIGINT < 3435973837 THEN 'train' ELSE 'test' END
            AS split
 FROM r, m"""
 
@@ -116,7 +116,7 @@ def heading_first(spark, sf_dir):
 
 @query(
     """SELECT doc_id, lang, source, n_chars FROM documents
-    WHERE ('0x' || substring(sha256('1:' || doc_id), 1, 8))::BIGINT % 100 < 10"""
+    WHERE ('0x' || substring(sha256('sample:1:' || doc_id), 1, 8))::BIGINT < 429496730"""
 )
 def sample_keyed(spark, sf_dir):
     return sampling.sample_keyed(table(spark, sf_dir, "documents"), "doc_id", 10).drop("text")
@@ -124,20 +124,20 @@ def sample_keyed(spark, sf_dir):
 
 @query(
     """SELECT o_orderkey, CASE WHEN h < 3435973837 THEN 'train' ELSE 'test' END AS split
-    FROM (SELECT o_orderkey, ('0x' || substring(sha256('1:' || o_orderkey), 1, 8))::BIGINT AS h FROM orders)"""
+    FROM (SELECT o_orderkey, ('0x' || substring(sha256('split:1:' || o_orderkey), 1, 8))::BIGINT AS h FROM orders)"""
 )
 def split_keyed(spark, sf_dir):
     return sampling.with_split(table(spark, sf_dir, "orders").select("o_orderkey"), "o_orderkey")
 
 
 @query(
-    """SELECT o_orderkey, ('0x' || substring(sha256('7:' || o_orderkey), 1, 8))::BIGINT % 16 AS subset_id FROM orders"""
+    """SELECT o_orderkey, ('0x' || substring(sha256('subset:7:' || o_orderkey), 1, 8))::BIGINT % 16 AS subset_id FROM orders"""
 )
 def subset_id(spark, sf_dir):
     return sampling.with_subset(table(spark, sf_dir, "orders").select("o_orderkey"), "o_orderkey", 16, seed=7)
 
 
-@query("""SELECT o_orderkey, ('0x' || substring(sha256('1:' || o_orderkey), 1, 8))::BIGINT AS hash FROM orders""")
+@query("""SELECT o_orderkey, ('0x' || substring(sha256('hash:1:' || o_orderkey), 1, 8))::BIGINT AS hash FROM orders""")
 def hash_of_key(spark, sf_dir):
     return table(spark, sf_dir, "orders").select("o_orderkey", key_hash(F.col("o_orderkey"), 1).alias("hash"))
 
@@ -166,3 +166,18 @@ def conform_schema(spark, sf_dir):
         F.col("n_chars").alias("target"), F.col("lang").alias("primarylanguage"), F.col("doc_id").alias("id")
     )
     return conform(given, schema)
+
+
+PARTS_SQL = """(SELECT o_orderkey, ('0x' || substring(sha256('sample:1:' || o_orderkey), 1, 8))::BIGINT AS a,
+    ('0x' || substring(sha256('split:1:' || o_orderkey), 1, 8))::BIGINT AS b,
+    ('0x' || substring(sha256('subset:1:' || o_orderkey), 1, 8))::BIGINT AS c FROM orders)"""
+
+
+@query(
+    f"""SELECT o_orderkey, CASE WHEN b < 3435973837 THEN 'train' ELSE 'test' END AS split, c % 20 AS subset_id
+    FROM {PARTS_SQL} WHERE a < 536870912"""
+)
+def sample_split_subsets(spark, sf_dir):
+    """12.5 % of the orders, split, and in 20 subsets: three draws that do not depend on each other."""
+    drawn = sampling.sample_keyed(table(spark, sf_dir, "orders").select("o_orderkey"), "o_orderkey", 12.5)
+    return sampling.with_subset(sampling.with_split(drawn, "o_orderkey"), "o_orderkey", 20)

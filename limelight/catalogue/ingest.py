@@ -91,6 +91,16 @@ def _upserted(spark, sf_dir) -> VersionedStore:
     return store
 
 
+@query(landed_sql(1))
+def stream_two_checkpoints(spark, sf_dir):
+    """The second arrival comes through a checkpoint of its own, whose batch numbers start again at 0."""
+    store = VersionedStore(spark, scratch_path(spark, "store"))
+    for run in (0, 1):
+        landing = land_pages(spark, sf_dir, round=run)
+        ingest.run(ingest.upsert_pages(spark, landing, store, scratch_path(spark, "stream")))
+    return _stored(ingest.current_repositories(store))
+
+
 @query(landed_sql(1))
 def stream_upsert(spark, sf_dir):
     """Every repository arrives twice; the later row stays."""

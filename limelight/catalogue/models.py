@@ -26,7 +26,7 @@ def _parts(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
 
 def _search(spark, sf_dir) -> tuple[ModelSearch, DataFrame]:
     search = ModelSearch(*_parts(spark, sf_dir), NUMBERS, CATEGORIES)
-    return search, search.train_models(max_models=3)
+    return search, search.train_models()
 
 
 def _index_sql(column: str) -> str:
@@ -75,7 +75,7 @@ def stacked_score(spark, sf_dir):
     train, test = _parts(spark, sf_dir)
     preparation = M.prepare_features(train, NUMBERS, CATEGORIES)
     rows = materialise(preparation.transform(train).select("name", "target", M.FEATURES), "prepared")
-    model = M.stack(rows, "name", M.candidates(codes=preparation.most_codes)[:2])
+    model = M.stack(rows, "name", M.candidates(codes=preparation.most_codes))
     return model.transform(preparation.transform(test)).select("name", "target", "prediction")
 
 

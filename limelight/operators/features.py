@@ -63,13 +63,16 @@ class ExtractTextFeatures(_Stage, HasInputCol):
 
 
 class CleanUp(_Stage, HasInputCol):
-    """The scaled one-element vector becomes a plain number; its inputs and the extras are dropped."""
+    """Unpack the one-element vector that a scaler made of `source` and drop what it was made from.
 
-    extras = Param(Params._dummy(), "extras", "further columns to drop", TypeConverters.toListString)
+    Whatever the source column is called, neither it nor its vector stays beside the target.
+    """
 
-    def __init__(self, column: str | None = None, extras: list[str] | None = None):
+    extras = Param(Params._dummy(), "extras", "columns to drop", TypeConverters.toListString)
+
+    def __init__(self, column: str | None = None, extras: list[str] | None = None, source: str = "stars"):
         super().__init__()
-        self._set(extras=["stars", "starsVector", *(extras or [])])
+        self._set(extras=[source, f"{source}Vector", *(extras or [])])
         if column is not None:
             self._set(inputCol=column)
 

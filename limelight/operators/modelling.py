@@ -220,7 +220,7 @@ def stack(
     Every fold is predicted by models of the other folds; the predictions of all models
     become columns of the same row, so nothing has to be joined back.
     """
-    fold = subset_number(F.col(key), folds, seed)
+    fold = subset_number(F.col(key), folds, seed, "fold")
     unseen = None
     for number in range(folds):
         models = train_candidates(train.filter(fold != number), options)

@@ -8,13 +8,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 HOT_FRACTION = 1000
-BROADCAST_ROWS = 500_000
+BROADCAST_BYTES = 16 << 20  # as stored
+BROADCAST_ROWS = 1_000_000
 
 
 def broadcast_if_small(stored: DataFrame, same_size: DataFrame | None = None) -> tuple[DataFrame, bool]:
-    """A stored table (or one with no more rows than it) marked for broadcast if it has few enough rows."""
+    """A stored table (or one of no more rows and bytes) marked for broadcast if its files and its rows are few enough.
+
+    Both are checked: many short rows take little room in files, few long ones do not show in a count.
+    """
     target = stored if same_size is None else same_size
-    small = stored.count() <= BROADCAST_ROWS
+    size = int(str(stored._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    small = size <= BROADCAST_BYTES and stored.count() <= BROADCAST_ROWS
     return (F.broadcast(target) if small else target), small
 
 

@@ -1,5 +1,6 @@
 from datetime import datetime
 
+import pytest
 from pyspark.sql import functions as F
 
 from limelight.functions import cleaning, hashing, text, timing
@@ -91,3 +92,23 @@ def test_split_shares(spark):
     assert set(counts) == {"a", "b", "c"}
     assert abs(counts["a"] - 12000) < 400 and abs(counts["c"] - 2000) < 300
     assert spark.range(20000).filter(hashing.in_sample(F.col("id"), 2.5, 3)).count() in range(400, 600)
+
+
+@pytest.mark.parametrize("percent", [0.5, 10, 12.5])
+@pytest.mark.parametrize("parts", [3, 20])
+def test_sample_split_subsets_and_folds_are_independent(spark, percent, parts):
+    """Every part of every draw has its share of every other draw: none is empty, none is biased."""
+    n = 200_000
+    rows = spark.range(n).filter(hashing.in_sample(F.col("id"), percent, 1))
+    split = hashing.split_name(F.col("id"), {"train": 0.8, "test": 0.2}, 1).alias("split")
+    subset = hashing.subset_number(F.col("id"), parts, 1).alias("subset")
+    fold = hashing.subset_number(F.col("id"), parts, 1, "fold").alias("fold")
+    found = rows.select(split, subset, fold).groupBy("split", "subset", "fold").count().collect()
+    total = sum(r["count"] for r in found)
+    fits = lambda got, share: abs(got - share) < 5 * max(share, 1) ** 0.5 + 1
+    assert fits(total, n * percent / 100)
+    for name, weight in (("train", 0.8), ("test", 0.2)):
+        for kind in ("subset", "fold"):
+            for i in range(parts):
+                got = sum(r["count"] for r in found if r["split"] == name and r[kind] == i)
+                assert got and fits(got, total * weight / parts)

@@ -6,13 +6,14 @@ import duckdb
 import pytest
 
 import __spark_entry__ as registry
+from limelight import catalogue
 
 SF_DIR = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 TABLES = (
     "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels "
     "conversations"
 ).split()
-QUERIES, ORACLES = registry.queries(), registry.oracle_sql()
+QUERIES, ORACLES = catalogue.runnable(), catalogue.oracles()
 ROWS_ONLY = {"quantile_bucket", "leaderboard", "score", "importance", "stacked_score"}
 
 
@@ -49,6 +50,11 @@ def test_query(spark, duck, plan, name):
         assert sorted_rows(rows, df.columns) == sorted_rows(cursor.fetchall(), columns)
 
 
+def test_registry_has_them_all():
+    assert set(QUERIES) <= set(registry.queries()) and set(ORACLES) <= set(registry.oracle_sql())
+    assert set(registry.oracle_sql()) <= set(registry.queries())
+
+
 def test_entry(spark):
     df = registry.entry(spark)
     assert df.count() > 0 and "target" in df.columns
