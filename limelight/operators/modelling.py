@@ -152,6 +152,8 @@ def rank(models: Sequence[Trained], held_out: DataFrame, label: str = LABEL, by:
         error = y - F.col(f"p_{trained.model_id}")
         aggregates += [F.avg(error * error).alias(f"mse{i}"), F.avg(F.abs(error)).alias(f"mae{i}")]
     row = scored.agg(*aggregates).first()
+    if models and row["mse0"] is None:
+        raise ValueError(f"no held-out row with a value in {label!r}: nothing to rank the models by")
     for i, trained in enumerate(models):
         mse, variance = row[f"mse{i}"], row["variance"]
         trained.metrics = {

@@ -190,12 +190,23 @@ def count_per_period(rows: DataFrame, ts: str, periods: DataFrame, start: str =
     )
 
 
+def refuse_overlaps(periods: DataFrame, start: str = "startdate", end: str = "enddate") -> None:
+    """Fail if two periods share an instant: never more than one may be open at a time."""
+    opened = periods.select(micros(F.col(start)).alias("__at"), F.lit(1).alias("__sign"))
+    closed = periods.select(micros(F.col(end)).alias("__at"), F.lit(-1).alias("__sign"))
+    events = opened.unionByName(closed).filter("__at is not null")
+    most = running_value(events, ["__at", "__sign"], "sum", "__sign", "__open").agg(F.max("__open")).first()[0]
+    if most is not None and most > 1:
+        raise ValueError(f"{most} periods overlap at some instant; a row could not be given to one of them")
+
+
 def assign_periods(rows: DataFrame, ts: str, periods: DataFrame, start: str = "startdate", end: str = "enddate"):
-    """Each row with the period it lies in (null if none); periods must not overlap.
+    """Each row with the period it lies in (null if none); periods that overlap are refused.
 
     Period starts are sorted in among the rows and the latest one carried forward, so a row
     is moved once and never compared with more than one period.
     """
+    refuse_overlaps(periods, start, end)
     at = micros(F.col(ts))
     # The hash spreads rows of one crowded instant over several slices.
     facts = rows.withColumns(

@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 from limelight.operators import modelling as M
 from limelight.operators.explore import preview
 from limelight.operators.sampling import DEFAULT_SPLIT, sample_keyed, split_keyed, split_rows, with_split
-from limelight.sources.datasets import materialise_once, write_dataset
+from limelight.sources.datasets import RECORDS_PER_FILE, materialise_once, write_dataset
 from limelight.sources.jdbc import scan_table
 from limelight.sources.scratch import materialise
 
@@ -26,10 +26,10 @@ class Processor:
         self.parts: dict[str, DataFrame] = {}
 
     @classmethod
-    def from_jdbc(cls, spark, url: str, table: str, properties: dict, load_percent=10, seed: int = 1, **scan):
+    def from_jdbc(cls, spark, url: str, table: str, properties: dict, load_percent=10, seed: int = 1, key: str = "id", **scan):
         """The sample is taken by the database, so rows outside of it are never sent."""
         raw = scan_table(spark, url, table, properties, percent=load_percent, seed=seed, **scan)
-        return cls(raw, None, seed)
+        return cls(raw, None, seed, key)
 
     def process_data(
         self,
@@ -64,14 +64,18 @@ class Processor:
     def preview(self, part: str, n: int = 20) -> DataFrame:
         return preview(self.parts[part], n)
 
-    def save_processed_data(self, paths: dict[str, str], schema: T.StructType) -> None:
+    def save_processed_data(
+        self, paths: dict[str, str], schema: T.StructType, records_per_file: int = RECORDS_PER_FILE
+    ) -> None:
         for name, path in paths.items():
-            write_dataset(self.parts[name], path, schema)
+            write_dataset(self.parts[name], path, schema, records_per_file)
 
-    def load_or_process(self, paths: dict[str, str], schema: T.StructType, *stages, **options) -> dict[str, DataFrame]:
+    def load_or_process(
+        self, paths: dict[str, str], schema: T.StructType, *stages, records_per_file: int = RECORDS_PER_FILE, **options
+    ) -> dict[str, DataFrame]:
         """The stored parts; they are computed and written first if one of them is missing."""
-        spark = self.raw_data.sparkSession
-        self.parts = materialise_once(spark, paths, schema, lambda: self.process_data(*stages, **options))
+        compute = lambda: self.process_data(*stages, **options)
+        self.parts = materialise_once(self.raw_data.sparkSession, paths, schema, compute, records_per_file)
         return self.parts
 
 

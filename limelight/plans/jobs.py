@@ -16,7 +16,7 @@ from limelight.operators.quality import audit_constraints, repository_rules
 from limelight.plans.dataset import ModelSearch, Processor
 from limelight.schema import FEATURES
 from limelight.session import pin_utc
-from limelight.sources.datasets import read_dataset
+from limelight.sources.datasets import RECORDS_PER_FILE, read_dataset
 from limelight.streaming import ingest
 from limelight.streaming.store import VersionedStore
 
@@ -24,22 +24,36 @@ NUMBERS = ["commits", "length", "fork", "archived", "locked"]
 CATEGORIES = ["primarylanguage", "license"]
 
 
-def collect(spark: SparkSession, landing: str, store_root: str, checkpoint: str, fold: bool = False) -> DataFrame:
-    """Take in what has landed since the last run; returns the audit of the stored repositories."""
+def collect(
+    spark: SparkSession, landing: str, store_root: str, checkpoint: str, fold: bool = False, prune: bool = False
+) -> DataFrame:
+    """Take in what has landed since the last run; returns the audit of the stored repositories.
+
+    `prune` removes what folds have replaced: only while nobody reads an older state.
+    """
     store = VersionedStore(spark, store_root)
     ingest.run(ingest.upsert_pages(spark, landing, store, checkpoint))
     if fold:
         ingest.compact(store)
+    if prune:
+        store.prune()
     return audit_constraints(ingest.current_repositories(store), repository_rules())
 
 
 def process(
-    spark: SparkSession, store_root: str, train: str, test: str, percent: float = 100, seed: int = 1
+    spark: SparkSession,
+    store_root: str,
+    train: str,
+    test: str,
+    percent: float = 100,
+    seed: int = 1,
+    records_per_file: int = RECORDS_PER_FILE,
 ) -> dict[str, DataFrame]:
     """Training and test set of the stored repositories, computed unless both are there already."""
     rows = ingest.current_repositories(VersionedStore(spark, store_root)).drop("ingest_seq")
     processor = Processor(rows, percent, seed)
-    return processor.load_or_process({"train": train, "test": test}, FEATURES, *popularity_stages())
+    paths = {"train": train, "test": test}
+    return processor.load_or_process(paths, FEATURES, *popularity_stages(), records_per_file=records_per_file)
 
 
 def model(
@@ -75,10 +89,12 @@ def main(arguments: list[str] | None = None) -> None:
             sub.add_argument(f"--{name}", required=True)
         if stage == "collect":
             sub.add_argument("--fold", action="store_true")
+            sub.add_argument("--prune", action="store_true")
         else:
             sub.add_argument("--seed", type=int, default=1)
         if stage == "process":
             sub.add_argument("--percent", type=float, default=100)
+            sub.add_argument("--records-per-file", type=int, default=RECORDS_PER_FILE)
         if stage == "model":
             sub.add_argument("--max-runtime", type=float)
             sub.add_argument("--max-models", type=int, default=0)
@@ -86,9 +102,9 @@ def main(arguments: list[str] | None = None) -> None:
 
     spark = pin_utc(SparkSession.builder.appName(f"limelight {args.stage}").getOrCreate())
     if args.stage == "collect":
-        collect(spark, args.landing, args.store, args.checkpoint, args.fold).show(truncate=False)
+        collect(spark, args.landing, args.store, args.checkpoint, args.fold, args.prune).show(truncate=False)
     elif args.stage == "process":
-        process(spark, args.store, args.train, args.test, args.percent, args.seed)
+        process(spark, args.store, args.train, args.test, args.percent, args.seed, args.records_per_file)
     else:
         search = model(spark, args.train, args.test, args.out, args.max_runtime, args.max_models, args.seed)
         search.get_leaderboard(20).show(truncate=False)

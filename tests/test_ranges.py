@@ -218,3 +218,13 @@ def test_keyset_pages_visit_every_row_once(spark):
         seen += [(r.ts, r.id) for r in page]
         after = F.lit(page[-1].ts), F.lit(page[-1].id)
     assert seen == rows
+
+
+def test_overlapping_periods_are_refused(spark):
+    hour = lambda h: datetime(2024, 1, 1, h)
+    rows = spark.createDataFrame([(hour(5),)], "ts timestamp")
+    schema = "startdate timestamp, enddate timestamp"
+    with pytest.raises(ValueError, match="overlap"):
+        ranges.assign_periods(rows, "ts", spark.createDataFrame([(hour(0), hour(23)), (hour(3), hour(4))], schema))
+    touching = spark.createDataFrame([(hour(0), hour(3)), (hour(3), hour(6))], schema)
+    assert ranges.assign_periods(rows, "ts", touching).first()["startdate"] == hour(3)
