@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from limelight.llm.common import ddl, record_batch, values
 
 WORD = 8  # a bitmap word has 2 ** WORD bits
-MEMO_ENTRIES = 150_000
+MEMO_ENTRIES = 400_000
 MEMO_LENGTH = 48  # characters; longer pre-tokens are encoded each time
 
 
