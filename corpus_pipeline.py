@@ -1,7 +1,8 @@
 """The corpus pipeline: toxic documents out, near copies out, repeated passages out, leaks out, then encoding.
 
 Every stage takes (spark, docs, sf_dir) and works on all that its predecessor kept. All but the last
-return the columns of `documents`.
+return the columns of `documents`. A stage decides on rows, not on ids: it numbers its rows itself
+(`row_keyed`), so null and repeated ids are judged one row at a time.
 """
 
 from __future__ import annotations
@@ -15,25 +16,31 @@ from pyspark.sql import functions as F
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
 from limelight.llm import byte_bpe, decontamination, simhash, suffix_dedup, toxicity  # noqa: E402
-from limelight.llm.common import table  # noqa: E402
+from limelight.llm.common import row_keyed, table  # noqa: E402
 from limelight.sources.scratch import materialise  # noqa: E402
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 ORACLE_SQL = None
 
 
+def _keyed(docs: DataFrame) -> DataFrame:
+    return row_keyed(docs, "lang", "source", "n_chars")
+
+
+def _without(keyed: DataFrame, rows: DataFrame) -> DataFrame:
+    return keyed.join(rows, "row", "left_anti").select(COLUMNS)
+
+
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier does not call toxic; ids are unique, so the verdict joins by id."""
-    verdicts = toxicity.classify(docs, table(spark, sf_dir, "labels"))
-    rejected = verdicts.filter("predicted = 1").select("doc_id").distinct()
-    return docs.join(rejected, "doc_id", "left_anti").select(COLUMNS)
+    """Rows that the classifier does not call toxic."""
+    keyed = _keyed(docs)
+    return _without(keyed, toxicity.toxic_rows(keyed, table(spark, sf_dir, "labels")))
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies: that with the smallest id."""
-    groups = simhash.near_duplicates(docs)
-    copies = groups.filter("doc_id > component_id").select("doc_id")
-    return docs.join(copies, "doc_id", "left_anti").select(COLUMNS)
+    """One row of each group of near copies: that with the smallest id, the first of those; a null id comes last."""
+    keyed = _keyed(docs)
+    return _without(keyed, simhash.copies(keyed))
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -43,9 +50,11 @@ def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a window of a benchmark item."""
-    leaks = decontamination.contamination(docs, table(spark, sf_dir, "benchmark")).filter("size(hits) > 0")
-    return docs.join(leaks.select("doc_id").distinct(), "doc_id", "left_anti").select(COLUMNS)
+    """Rows without a window of a benchmark item."""
+    keyed = _keyed(docs)
+    numbered = keyed.select(F.col("row").alias("doc_id"), "text")
+    leaks = decontamination.contamination(numbered, table(spark, sf_dir, "benchmark")).filter("size(hits) > 0")
+    return _without(keyed, leaks.select(F.col("doc_id").alias("row")))
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

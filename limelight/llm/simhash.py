@@ -51,15 +51,19 @@ def simhash(text: str | None, shingle: int = SHINGLE) -> int:
     return int(np.packbits(counts * 2 > len(shingles), bitorder="little").view("<i8")[0])
 
 
-def fingerprints(docs: DataFrame) -> DataFrame:
-    """(doc_id, fp) of every row of `docs`."""
+def fingerprints(docs: DataFrame, *more: str) -> DataFrame:
+    """(doc_id, fp, *more) of every row of `docs`; `more` are bigint columns."""
+    schema = pa.schema([*PRINTS, *((name, pa.int64()) for name in more)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield record_batch(PRINTS, [values(batch, "doc_id"), [simhash(t) for t in values(batch, "text")]])
+            prints = [simhash(t) for t in values(batch, "text")]
+            yield record_batch(schema, [values(batch, "doc_id"), prints, *(values(batch, name) for name in more)])
 
-    source = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return source.mapInArrow(run, ddl(PRINTS))
+    source = docs.select(
+        F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"), *more
+    )
+    return source.mapInArrow(run, ddl(schema))
 
 
 class BKTree:
@@ -179,13 +183,27 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS, most: int = SHARD) ->
     doc_id stays null and never names a component unless all ids in it are null (then it is null).
     Repeated rows come out as often as they go in. Copies are one fingerprint before any tree is built.
     """
-    prints = materialise(fingerprints(docs), "prints")
-    classes = materialise(prints.groupBy("fp").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")), "classes")
+    joined = _grouped(materialise(fingerprints(docs), "prints"), F.col("doc_id"), radius, most)
+    digits = F.lower(F.lpad(F.hex("fp"), 16, "0"))
+    return joined.select("doc_id", digits.alias("fingerprint"), F.col("first").alias("component_id"))
+
+
+def copies(keyed: DataFrame, radius: int = RADIUS, most: int = SHARD) -> DataFrame:
+    """(row) of all rows of `keyed` (row, doc_id, text) but the first of each component.
+
+    Rows come in the order of doc_id, then of row; a null doc_id comes last.
+    """
+    prints = materialise(fingerprints(keyed, "row"), "prints")
+    order = F.struct(F.col("doc_id").isNull(), "doc_id", "row")
+    return _grouped(prints, order, radius, most).filter("row <> first.row").select("row")
+
+
+def _grouped(prints: DataFrame, order: Column, radius: int, most: int) -> DataFrame:
+    """`prints` with `first`: the smallest `order` in the component of the fingerprint."""
+    classes = materialise(prints.groupBy("fp").agg(F.min(order).alias("first"), F.count("*").alias("n")), "classes")
     roots = components(near_links(classes.select("fp"), radius, most))
     rooted = classes.join(roots.withColumnRenamed("node", "fp"), "fp", "left")
     rooted = rooted.withColumn("root", F.coalesce("root", "fp"))
-    lowest = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
-    named = materialise(rooted.join(lowest, "root").select("fp", "component_id", "n"), "components")
-    joined = lookup_join(prints, named.select("fp", "component_id"), "fp", lambda: named, "n", "left")
-    digits = F.lower(F.lpad(F.hex("fp"), 16, "0"))
-    return joined.select("doc_id", digits.alias("fingerprint"), "component_id")
+    lowest = rooted.groupBy("root").agg(F.min("first").alias("first"))
+    named = materialise(rooted.drop("first").join(lowest, "root").select("fp", "first", "n"), "components")
+    return lookup_join(prints, named.select("fp", "first"), "fp", lambda: named, "n", "left")

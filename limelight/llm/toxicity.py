@@ -227,3 +227,10 @@ def classify(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -
     return scored.select(
         "doc_id", held_out().alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted")
     )
+
+
+def toxic_rows(keyed: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """(row) of the rows of `keyed` (row, doc_id, text) that `classify` would call toxic."""
+    model = train(keyed, labels.filter(~held_out()))
+    scored = score(keyed.select(F.col("row").alias("doc_id"), "text"), model)
+    return scored.filter(F.col("score") >= threshold).select(F.col("doc_id").alias("row"))
