@@ -1,8 +1,9 @@
 """Document fingerprints as Merkle trees (operator 3).
 
 A text is a tree: sections (they begin at headings and after blank lines) of paragraphs (lines) of pieces
-(clauses; long ones are cut after words that a checksum picks, so a cut does not depend on what is
-before it). A node's digest is that of its children's digests, so equal roots mean equal texts, and
+(clauses; long ones are cut after words that a checksum picks, and what is still long, such as text without
+spaces, where a hash of the last four bytes says so: a cut does not depend on what is far before it). The first
+`HEAD` bytes of a text come in smaller pieces, so that short texts have several, too. A node's digest is that of its children's digests, so equal roots mean equal texts, and
 two trees differ only below nodes with different digests: following those finds the edits.
 
 The fingerprint is text: the root's digest, then the checksums of the pieces, paragraphs by commas and sections by semicolons.
@@ -14,10 +15,11 @@ from __future__ import annotations
 import hashlib
 import re
 import zlib
-from bisect import bisect_right
+from bisect import bisect_left, bisect_right
 from collections import Counter
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -25,8 +27,10 @@ from pyspark.sql import functions as F
 from limelight.llm.common import Batches, ddl, values
 
 CLAUSE = re.compile(rb"(?<=[.,;:!?]) ")
-LONG = 60  # bytes; a longer clause is cut further
+LONG = 60  # bytes; a longer clause is cut further, and no piece is longer
 CUT = 4  # one word in so many ends a piece of a long clause
+HEAD = 64  # bytes
+FINE, COARSE = (4, 2, 12), (16, 4, LONG)  # least bytes of a piece, one place in 2^so many ends one, most bytes
 SECTION = re.compile(r"\s*$|#")
 
 OUT = pa.schema(
@@ -36,9 +40,28 @@ OUT = pa.schema(
 )
 
 
-def pieces(paragraph: bytes) -> list[bytes]:
-    out = []
-    for clause in CLAUSE.split(paragraph):
+def cut(data: bytes, least: int, bits: int, most: int) -> list[bytes]:
+    """`data` in pieces of `least` to `most` bytes (the last may be shorter), cut by the four bytes before the cut."""
+    if len(data) <= least:
+        return [data] if data else []
+    x = np.frombuffer(data, dtype=np.uint8).astype(np.uint32)
+    last = x[:-3] | x[1:-2] << 8 | x[2:-1] << 16 | x[3:] << 24
+    places = (np.flatnonzero(last * np.uint32(0x9E3779B1) >> (32 - bits) == 0) + 4).tolist()
+    out, at, i = [], 0, 0
+    while at < len(data):
+        i = bisect_left(places, at + least, i)
+        stop = min(places[i] if i < len(places) else len(data), at + most)
+        out.append(data[at:stop])
+        at = stop
+    return out
+
+
+def pieces(paragraph: bytes, head: int = 0) -> list[bytes]:
+    """Pieces of a line whose first `head` bytes belong to the head of the text."""
+    out = cut(paragraph[:head], *FINE)
+    if head >= len(paragraph):
+        return out
+    for clause in CLAUSE.split(paragraph[head:]):
         if len(clause) <= LONG:
             out.append(clause)
             continue
@@ -46,13 +69,21 @@ def pieces(paragraph: bytes) -> list[bytes]:
         for word in clause.split(b" "):
             words.append(word)
             if zlib.crc32(word) % CUT == 0:
-                out.append(b" ".join(words))
+                out += _bounded(b" ".join(words))
                 words = []
         if words:
-            out.append(b" ".join(words))
+            out += _bounded(b" ".join(words))
     return out
 
 
+def _bounded(piece: bytes) -> list[bytes]:
+    """Parts after the first are marked by a byte that UTF-8 never has: no space stood before them."""
+    if len(piece) <= LONG:
+        return [piece]
+    first, *rest = cut(piece, *COARSE)
+    return [first, *(b"\xff" + part for part in rest)]
+
+
 def sections(text: str) -> list[list[str]]:
     """Lines with their ends, grouped by section; joined they are the text."""
     out: list[list[str]] = []
@@ -74,12 +105,13 @@ def _digest(parts: list[bytes]) -> bytes:
 
 
 def fingerprint(text: str | None) -> str:
-    tops, shown = [], []
+    tops, shown, head = [], [], HEAD
     for section in sections(text or ""):
         middles, lines = [], []
         for paragraph in section:
             data = paragraph.encode()
-            leaves = pieces(data)
+            leaves = pieces(data, head)
+            head = max(head - len(data), 0)
             middles.append(_digest(leaves))
             lines.append("".join([f"{zlib.crc32(leaf):08x}" for leaf in leaves]))
         tops.append(_digest(middles))
@@ -114,6 +146,20 @@ def edits(a: str, b: str) -> list[tuple[int, int]]:
     return out
 
 
+def edited_pieces(a: str, b: str) -> list[tuple[int, int, int]]:
+    """(section, paragraph, piece) of `a` in the branches of `edits` that the same paragraph of `b` does not have."""
+    mine, other = ([s.split(",") for s in p.partition(":")[2].split(";")] for p in (a, b))
+    out = []
+    for i, j in edits(a, b):
+        spare = Counter(leaves(":" + other[i][j]) if i < len(other) and j < len(other[i]) else ())
+        for k, piece in enumerate(leaves(":" + mine[i][j])):
+            if spare[piece]:
+                spare[piece] -= 1
+            else:
+                out.append((i, j, k))
+    return out
+
+
 def edited(text: str, following: str) -> str:
     """The last quarter of the code points replaced by the first as many (or all) of the following text."""
     k = len(text) // 4

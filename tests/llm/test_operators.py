@@ -3,6 +3,7 @@
 import hashlib
 import math
 import random
+import string
 import zlib
 from collections import Counter
 
@@ -106,6 +107,34 @@ def test_roots_test_equality(a, b):
     assert merkle.likeness(merkle.fingerprint(a), merkle.fingerprint(a)) == 1
 
 
+@pytest.mark.parametrize("alphabet", ["世界人民大会堂的一是不了在有我他这中来上个国", string.ascii_letters + "+/", "ab"])
+@pytest.mark.parametrize("size", [40, 400, 20_000])
+def test_pieces_need_no_spaces(alphabet, size):
+    rng = random.Random(size)
+    draw = lambda n: "".join(rng.choices(alphabet, k=n))
+    text = draw(size)
+    changed = merkle.edited(text, draw(size))
+    a, b = map(merkle.fingerprint, (text, changed))
+    assert 0.4 < merkle.likeness(a, b) < 1
+    assert max(len(p.lstrip(b"\xff")) for p in merkle.pieces(text.encode())) <= merkle.LONG
+    assert b"".join(merkle.cut(text.encode(), *merkle.COARSE)) == text.encode()
+    at = len(merkle.pieces(text.encode())[0].decode(errors="ignore"))
+    assert merkle.fingerprint(text[:at] + " " + text[at:])[:32] != a[:32]
+    if size > 400:
+        shifted = merkle.fingerprint(text[:100] + "x" + text[100:])
+        assert merkle.likeness(a, shifted) > 0.95
+        found = merkle.edited_pieces(a, b)
+        assert {(i, j) for i, j, _ in found} == {(0, 0)} and min(k for *_, k in found) > 0.7 * len(merkle.leaves(a))
+
+
+@pytest.mark.parametrize("separator", ["\t", "\u00a0", " "])
+def test_short_and_oddly_parted_texts(separator):
+    for words in (4, 8, 500):
+        text = separator.join(prose(words, words).split())
+        changed = merkle.edited(text, prose(words + 1, words))
+        assert 0.3 < merkle.likeness(*map(merkle.fingerprint, (text, changed))) < 1
+
+
 def test_branches_locate_edits():
     a = "# one\nfirst line\nsecond line\n\n# two\nthird line\n"
     b = a.replace("third", "other")
