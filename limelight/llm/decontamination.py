@@ -44,7 +44,7 @@ def phrases(items: DataFrame, window: int | None = WINDOW) -> DataFrame:
     """(item, phrase): distinct windows of each item, words joined by spaces; None takes whole items.
 
     An item with fewer words than a window is one phrase; one without words (null, too) has none.
-    A null item_id is left out: there is no name to report.
+    A null item_id has phrases like any other; only its name is missing.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -59,7 +59,7 @@ def phrases(items: DataFrame, window: int | None = WINDOW) -> DataFrame:
             yield record_batch(PHRASES, rows)
 
     source = items.select(F.col("item_id").cast("string").alias("item"), F.col("text").cast("string").alias("text"))
-    return source.filter("item IS NOT NULL").mapInArrow(run, ddl(PHRASES)).distinct()
+    return source.mapInArrow(run, ddl(PHRASES)).distinct()
 
 
 def term_counts(docs: DataFrame, terms: set[bytes]) -> DataFrame:
@@ -206,20 +206,24 @@ def _report(docs: DataFrame, items: DataFrame, window: int, schema: pa.Schema, f
                 words = plain_words(text)
                 hits: set[int] = set()
                 names: set[str] = set()
+                unnamed = False
                 for f in found or ():
                     phrase, start = f["phrase"].encode().split(b" "), f["start"]
                     if words[start : start + len(phrase)] == phrase:
                         hits.update(range(start, start + len(phrase)))
                         names.update(f["items"])
-                for column, value in zip(columns, finish(key, len(words), hits, sorted(names))):
+                        unnamed = unnamed or f["unnamed"]
+                for column, value in zip(columns, finish(key, len(words), hits, sorted(names), unnamed)):
                     column.append(value)
             yield record_batch(schema, columns)
 
     keyed = row_keyed(docs)
     wanted = materialise(phrases(items, window), "phrases")
-    named = wanted.groupBy("phrase").agg(F.collect_set("item").alias("items"))
+    named = wanted.groupBy("phrase").agg(
+        F.collect_set("item").alias("items"), F.max(F.col("item").isNull()).alias("unnamed")
+    )
     found = candidates(keyed, wanted).join(named, "phrase")
-    grouped = found.groupBy("row").agg(F.collect_list(F.struct("phrase", "start", "items")).alias("found"))
+    grouped = found.groupBy("row").agg(F.collect_list(F.struct("phrase", "start", "items", "unnamed")).alias("found"))
     joined = keyed.join(grouped, "row", "left").select("doc_id", "text", "found")
     return joined.mapInArrow(run, ddl(schema))
 
@@ -228,14 +232,18 @@ def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> Da
     """doc_id, n_words, hits (places of hit words), items (sorted ids of items with an occurring window).
 
     One row per row of `docs`, repeated rows included. Null and empty texts have no words and no hits; a null doc_id
-    stays null; without items nothing is hit. Item ids are compared and sorted as strings.
+    stays null; without items nothing is hit. Item ids are compared and sorted as strings; items with a null id
+    hit without being listed.
     """
-    return _report(docs, items, window, HITS, lambda key, n, hits, names: (key, n, sorted(hits), names))
+    return _report(docs, items, window, HITS, lambda key, n, hits, names, _: (key, n, sorted(hits), names))
 
 
 def contamination_digests(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> DataFrame:
-    """The same as counts, a SHA-256 of the comma-joined item ids, and whether anything is hit."""
-    finish = lambda key, n, hits, names: (
-        key, n, len(hits), len(names), hashlib.sha256(",".join(names).encode()).hexdigest(), bool(hits)
+    """The same as counts, a SHA-256 of the comma-joined item ids, and whether anything is hit.
+
+    In the number of items all those with a null id are one.
+    """
+    finish = lambda key, n, hits, names, unnamed: (
+        key, n, len(hits), len(names) + unnamed, hashlib.sha256(",".join(names).encode()).hexdigest(), bool(hits)
     )
     return _report(docs, items, window, DIGESTS, finish)

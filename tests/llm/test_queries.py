@@ -33,6 +33,27 @@ def test_query_equals_its_sql(spark, name):
     assert as_text(df.collect(), df.columns) == as_text(cursor.fetchall(), columns)
 
 
+def test_items_without_id_equal_the_sql(spark, tmp_path):
+    a, b, c = (prose(i, 14, 5_000) for i in (78, 79, 80))
+    texts = [(1, f"x {a} y"), (2, f"{a} {b}"), (3, b), (4, "nothing"), (None, a), (5, f"{a} {c}")]
+    rows = [(i, t, "en", "s", len(t)) for i, t in texts]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    docs.coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    items = spark.createDataFrame([(None, a), (7, b), (None, c), (8, b)], "item_id bigint, text string")
+    items.coalesce(1).write.parquet(f"{tmp_path}/benchmark.parquet")
+    connection = duckdb.connect()
+    for table in ("documents", "benchmark"):
+        connection.execute(f"CREATE VIEW {table} AS SELECT * FROM '{tmp_path}/{table}.parquet/*.parquet'")
+    cursor = connection.execute(queries.oracles()["op6_decontamination"])
+    columns = [d[0] for d in cursor.description]
+    df = queries.runnable()["op6_decontamination"](spark, str(tmp_path))
+    found = df.collect()
+    assert as_text(found, df.columns) == as_text(cursor.fetchall(), columns)
+    assert {r["doc_id"]: (r["n_items"], r["contaminated"]) for r in found} == {
+        1: (1, True), 2: (3, True), 3: (2, True), 4: (0, False), None: (1, True), 5: (1, True)
+    }
+
+
 def test_stages_follow_the_order():
     assert [name for name, _ in corpus_pipeline.STAGES] == [
         "toxicity", "simhash_near_dedup", "suffix_array_dedup", "decontamination", "byte_bpe"
