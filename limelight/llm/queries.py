@@ -6,7 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from limelight.llm import byte_bpe, decontamination, hilbert, license_scan, merkle, simhash, suffix_dedup, suffix_tree_lm, toxicity, warc
+from limelight.llm import byte_bpe, decontamination, hilbert, license_scan, merkle, simhash, suffix_dedup
+from limelight.llm import suffix_tree_lm, toxicity, warc, whitening
 from limelight.llm.common import table
 
 OP6 = r"""
@@ -97,6 +98,10 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
 def runnable() -> dict[str, Query]:
     return {
         "op1_hilbert_shards": op1_hilbert_shards,
@@ -109,6 +114,7 @@ def runnable() -> dict[str, Query]:
         "op8_warc": op8_warc,
         "op9_suffix_dedup": op9_suffix_dedup,
         "op10_simhash": op10_simhash,
+        "op11_whitening": op11_whitening,
     }
 
 
