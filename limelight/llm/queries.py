@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from limelight.llm import byte_bpe, decontamination, hilbert, license_scan, merkle, simhash, suffix_dedup
+from limelight.llm import byte_bpe, decontamination, hard_negatives, hilbert, license_scan, merkle, simhash, suffix_dedup
 from limelight.llm import suffix_tree_lm, toxicity, warc, whitening
 from limelight.llm.common import table
 
@@ -102,6 +103,12 @@ def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whitening.whiten(table(spark, sf_dir, "embeddings"))
 
 
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    # Every seventh vector is filed under the next label.
+    label = F.expr("CASE WHEN vec_id % 7 = 0 THEN (CAST(label AS BIGINT) + 1) % 10 ELSE CAST(label AS BIGINT) END")
+    return hard_negatives.mine(table(spark, sf_dir, "embeddings"), label=label)
+
+
 def runnable() -> dict[str, Query]:
     return {
         "op1_hilbert_shards": op1_hilbert_shards,
@@ -115,6 +122,7 @@ def runnable() -> dict[str, Query]:
         "op9_suffix_dedup": op9_suffix_dedup,
         "op10_simhash": op10_simhash,
         "op11_whitening": op11_whitening,
+        "op13_hard_negatives": op13_hard_negatives,
     }
 
 
