@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from limelight.llm import byte_bpe, decontamination, hard_negatives, hilbert, license_scan, merkle, simhash, suffix_dedup
-from limelight.llm import suffix_tree_lm, toxicity, warc, whitening
+from limelight.llm import byte_bpe, decontamination, hard_negatives, hilbert, language_id, license_scan
+from limelight.llm import merkle, simhash, suffix_dedup, suffix_tree_lm, toxicity, warc, whitening
 from limelight.llm.common import table
 
 OP6 = r"""
@@ -103,6 +103,10 @@ def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whitening.whiten(table(spark, sf_dir, "embeddings"))
 
 
+def op12_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id.predict(table(spark, sf_dir, "documents"))
+
+
 def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     # Every seventh vector is filed under the next label.
     label = F.expr("CASE WHEN vec_id % 7 = 0 THEN (CAST(label AS BIGINT) + 1) % 10 ELSE CAST(label AS BIGINT) END")
@@ -122,6 +126,7 @@ def runnable() -> dict[str, Query]:
         "op9_suffix_dedup": op9_suffix_dedup,
         "op10_simhash": op10_simhash,
         "op11_whitening": op11_whitening,
+        "op12_language_id": op12_language_id,
         "op13_hard_negatives": op13_hard_negatives,
     }
 
