@@ -34,6 +34,7 @@ from limelight.plans.skew import lookup_join
 from limelight.sources.scratch import materialise
 
 LENGTH = 400
+PASSAGE, WORDS = 200, 50  # bytes of the first round's strings; words of a passage worth telling
 BLOCK = 16
 PIECE = 1 << 20  # bytes looked at in one step
 GRAM = 16  # bytes that the order of anchors depends on
@@ -51,8 +52,18 @@ KEPT = pa.schema(
 )
 TEXTS = pa.schema([("row", pa.int64()), ("text", pa.string())])
 DIGESTS = pa.schema(
-    [(name, pa.int64()) for name in ("doc_id", "n_bytes", "n_removed", "n_spans")] + [("kept_sha256", pa.string())]
+    [(name, pa.int64()) for name in ("doc_id", "n_bytes", "n_removed", "n_spans")]
+    + [("kept_sha256", pa.string()), ("n_passage", pa.int64())]
 )
+# After the first round: a digest, or the bytes of a document and the stretches that the second round looks at.
+ROUND = pa.schema(
+    [(name, pa.int64()) for name in ("row", "doc_id", "n_bytes", "n_passage")]
+    + [("kept_sha256", pa.string()), ("data", pa.binary()), ("starts", pa.list_(pa.int64())), ("ends", pa.list_(pa.int64()))]
+)
+
+
+def as_bytes(text: str | bytes | None) -> bytes:
+    return text.encode() if isinstance(text, str) else text or b""
 
 
 class Ranker:
@@ -159,7 +170,7 @@ def _scan(docs: DataFrame, length: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rankers = _rankers(length)
         for batch in batches:
-            texts = [(t or "").encode() for t in values(batch, "text")]
+            texts = [as_bytes(t) for t in values(batch, "text")]
             rows = np.array(values(batch, "row"), dtype=np.int64)
             index, *rest = find_runs(texts, length, rankers)
             yield record_batch(RUNS, [rows[index], *map(_signed, rest)])
@@ -197,7 +208,7 @@ def _cut_out(docs: DataFrame, runs: DataFrame, length: int) -> DataFrame:
         for batch in batches:
             columns = [[], [], [], []]
             for row, text, found in zip(values(batch, "row"), values(batch, "text"), values(batch, "runs")):
-                data = text.encode()
+                data = as_bytes(text)
                 for r in found:
                     for column, value in zip(columns, (row, r["lo"], r["at"], data[r["lo"] : r["hi"] + length])):
                         column.append(value)
@@ -299,7 +310,7 @@ def repeated_strings(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     return decided.unionAll(more).unionAll(single)
 
 
-def _removals(docs: DataFrame, length: int, schema: pa.Schema, finish) -> DataFrame:
+def _removals(docs: DataFrame, length: int, schema: pa.Schema, finish, words: int = 0) -> DataFrame:
     """Each document with its maximal removed runs; `finish` makes a result row of (row, doc_id, data, starts, ends, keep)."""
     found = repeated_strings(docs, length)
     # Bounded by the length of a document.
@@ -309,8 +320,10 @@ def _removals(docs: DataFrame, length: int, schema: pa.Schema, finish) -> DataFr
         for batch in batches:
             columns = [[] for _ in schema]
             for row, key, text, found in zip(*(values(batch, c) for c in ("row", "doc_id", "text", "found"))):
-                data = (text or "").encode()
+                data = as_bytes(text)
                 starts, ends = merged(found or [], length)
+                if words:
+                    starts, ends = passages(data, starts, ends, words)
                 keep = b"".join(data[a:b] for a, b in zip([0, *ends], [*starts, len(data)]))
                 for column, value in zip(columns, finish(row, key, data, starts, ends, keep)):
                     column.append(value)
@@ -346,12 +359,80 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     return _removals(row_keyed(docs), length, KEPT, finish).drop("row")
 
 
-def removal_digests(docs: DataFrame, length: int = LENGTH) -> DataFrame:
-    """The same as counts and a SHA-256 of the kept bytes, made before they leave the task."""
-    finish = lambda row, key, data, starts, ends, keep: (
-        key, len(data), len(data) - len(keep), len(starts), hashlib.sha256(keep).hexdigest()
-    )
-    return _removals(row_keyed(docs), length, DIGESTS, finish)
+def passages(data: bytes, starts: list[int], ends: list[int], words: int) -> tuple[list[int], list[int]]:
+    """The ranges with at least `words` words (white space between them) or, whatever their words, LENGTH bytes."""
+    kept = [(a, b) for a, b in zip(starts, ends) if b - a >= LENGTH or len(data[a:b].split()) >= words]
+    return [a for a, _ in kept], [b for _, b in kept]
+
+
+def stretches_of(found: list[dict], short: int, length: int) -> list[tuple[int, int]]:
+    """Byte ranges of at least `length` bytes whose strings of `short` bytes are all repeated, none within another."""
+    ranges: list[list[int]] = []
+    for lo, hi in sorted((f["lo"], f["hi"]) for f in found):
+        if ranges and lo <= ranges[-1][1] + 1:
+            ranges[-1][1] = max(ranges[-1][1], hi)
+        else:
+            ranges.append([lo, hi])
+    return [(lo, hi + short) for lo, hi in ranges if hi + short - lo >= length]
+
+
+def removal_digests(docs: DataFrame, length: int = LENGTH, short: int = PASSAGE, words: int = WORDS) -> DataFrame:
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 as by `remove_repeats`, and n_passage; a row per row.
+
+    Two rounds: strings of `short` bytes first; a string of `length` bytes can only be repeated where all
+    the shorter ones in it are, so the second round ranks no more than those stretches. `n_passage` counts the
+    bytes in runs of repeated `short` strings that have `words` words or LENGTH bytes: passages that are mostly
+    too short for the removal by `length`. It removes nothing.
+    """
+    docs = row_keyed(docs)
+    found = repeated_strings(docs, short)
+    spans = found.groupBy("row").agg(F.collect_set(F.struct("lo", "hi")).alias("found"))  # bounded by a document's length
+    digest = lambda data: hashlib.sha256(data).hexdigest()
+
+    def first_round(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            columns = [[] for _ in ROUND]
+            for row, key, text, found in zip(*(values(batch, c) for c in ("row", "doc_id", "text", "found"))):
+                data, found = as_bytes(text), found or []
+                starts, ends = passages(data, *merged(found, short), words)
+                open_ = stretches_of(found, short, length)
+                count = sum(ends) - sum(starts)
+                rest = (None, data, *map(list, zip(*open_))) if open_ else (digest(data), None, None, None)
+                for column, value in zip(columns, (row, key, len(data), count, *rest)):
+                    column.append(value)
+            yield record_batch(ROUND, columns)
+
+    joined = docs.join(spans, "row", "left").select("row", "doc_id", "text", "found")
+    round_ = materialise(joined.mapInArrow(first_round, ddl(ROUND)), "first-round")
+    open_docs = round_.filter("data IS NOT NULL")
+    ranges = open_docs.select("row", "data", F.explode(F.arrays_zip("starts", "ends")).alias("at"))
+    part = F.expr("substring(data, CAST(at.starts + 1 AS INT), CAST(at.ends - at.starts AS INT))")
+    parts = ranges.select(
+        F.monotonically_increasing_id().alias("row"), F.col("row").alias("of"), F.col("at.starts").alias("start"), part.alias("text")
+    )
+    parts = materialise(parts, "stretches-of-documents")
+    again = repeated_strings(parts.select("row", "text"), length)
+    placed = again.join(parts.select("row", "of", "start"), "row").select(
+        F.col("of").alias("row"), F.expr("struct(lo + start AS lo, hi + start AS hi)").alias("span")
+    )
+    spans = placed.groupBy("row").agg(F.collect_set("span").alias("found"))
+
+    def second_round(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            columns = [[] for _ in DIGESTS]
+            for key, data, found, count in zip(*(values(batch, c) for c in ("doc_id", "data", "found", "n_passage"))):
+                starts, ends = merged(found or [], length)
+                keep = b"".join(data[a:b] for a, b in zip([0, *ends], [*starts, len(data)]))
+                result = (key, len(data), len(data) - len(keep), len(starts), digest(keep), count)
+                for column, value in zip(columns, result):
+                    column.append(value)
+            yield record_batch(DIGESTS, columns)
+
+    judged = open_docs.join(spans, "row", "left").select("doc_id", "data", "found", "n_passage")
+    closed = round_.filter("data IS NULL").select(
+        "doc_id", "n_bytes", F.lit(0).cast("bigint").alias("n_removed"), F.lit(0).cast("bigint").alias("n_spans"), "kept_sha256", "n_passage"
+    )
+    return closed.unionByName(judged.mapInArrow(second_round, ddl(DIGESTS)))
 
 
 def whole_characters(data: bytes, starts: list[int], ends: list[int]) -> str:
@@ -370,9 +451,12 @@ def whole_characters(data: bytes, starts: list[int], ends: list[int]) -> str:
     return b"".join(kept).decode()
 
 
-def trimmed(docs: DataFrame, *more: str, length: int = LENGTH) -> DataFrame:
-    """(doc_id, text, *more) with repeated strings cut out of the texts; a null text becomes empty."""
+def trimmed(docs: DataFrame, *more: str, length: int = LENGTH, words: int = 0) -> DataFrame:
+    """(doc_id, text, *more) with repeated strings cut out of the texts; a null text becomes empty.
+
+    With `words`, only runs of repeated strings that have so many words, or LENGTH bytes, are cut.
+    """
     keyed = row_keyed(docs, *more)
     finish = lambda row, key, data, starts, ends, keep: (row, whole_characters(data, starts, ends))
-    texts = _removals(keyed, length, TEXTS, finish)
+    texts = _removals(keyed, length, TEXTS, finish, words)
     return keyed.drop("text").join(texts, "row").select("doc_id", "text", *more)

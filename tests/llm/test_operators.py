@@ -365,6 +365,41 @@ def test_repeated_strings(spark, length):
         assert (found[i]["starts"], found[i]["ends"]) == (edges[::2], edges[1::2])
 
 
+def edges_of(mark):
+    edges = np.flatnonzero(np.diff(np.r_[0, mark.astype(int), 0])).tolist()
+    return list(zip(edges[::2], edges[1::2]))
+
+
+def passage_edges(data, mark):
+    return [(a, b) for a, b in edges_of(mark) if b - a >= 400 or len(data[a:b].split()) >= 50]
+
+
+def check_digests(found, texts):
+    """`found` by doc_id against all strings of 400 and of 200 bytes of `texts`."""
+    data = {i: (t or "").encode() for i, t in texts.items()}
+    for i, long, short in zip(data, covered(data.values(), 400), covered(data.values(), 200)):
+        kept = np.frombuffer(data[i], np.uint8)[~long].tobytes()
+        passage = sum(b - a for a, b in passage_edges(data[i], short))
+        expected = (len(data[i]), int(long.sum()), len(edges_of(long)), hashlib.sha256(kept).hexdigest(), passage)
+        r = found[i]
+        assert (r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"], r["n_passage"]) == expected
+
+
+def test_two_rounds_equal_brute_force(spark):
+    rng = random.Random(9)
+    bases, texts = [prose(i, 500, 900) for i in range(5)], []
+    for _ in range(50):
+        start = rng.randrange(1500)
+        part = list(rng.choice(bases)[start : start + rng.randrange(1200)])
+        for _ in range(rng.randrange(4)):
+            if part:
+                part[rng.randrange(len(part))] = "Zé"
+        texts.append(prose(rng.random(), rng.randrange(60)) + "".join(part) + prose(rng.random(), rng.randrange(60)))
+    texts += ["a" * 1500, "ab" * 500, "", None, texts[3], texts[3], "世界" * 300]
+    found = suffix_dedup.removal_digests(documents(spark, list(enumerate(texts)))).collect()
+    check_digests({r["doc_id"]: r for r in found}, dict(enumerate(texts)))
+
+
 def test_pieces_of_a_long_text_change_nothing():
     rankers = suffix_dedup._rankers(100)
     text = prose(1, 3_000).encode()

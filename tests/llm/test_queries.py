@@ -11,7 +11,7 @@ import corpus_pipeline
 from limelight.llm import decontamination, queries, simhash, suffix_dedup, toxicity
 
 from .helpers import prose
-from .test_operators import LIBRARY, covered, naive_hits
+from .test_operators import LIBRARY, check_digests, covered, naive_hits, passage_edges
 
 SF_DIR = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 TABLES = ("documents", "pages", "benchmark", "labels")
@@ -54,6 +54,14 @@ def test_items_without_id_equal_the_sql(spark, tmp_path):
     }
 
 
+def test_repeats_of_the_whole_table(spark):
+    sf_dir = "/root/testdata/sf0.01"
+    texts = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()}
+    found = queries.op9_suffix_dedup(spark, sf_dir).collect()
+    assert len(found) == len(texts)
+    check_digests({r["doc_id"]: r for r in found}, texts)
+
+
 def test_stages_follow_the_order():
     assert [name for name, _ in corpus_pipeline.STAGES] == [
         "toxicity", "simhash_near_dedup", "suffix_array_dedup", "decontamination", "byte_bpe"
@@ -91,9 +99,9 @@ def test_pipeline_against_brute_force(spark, tmp_path):
                     group[i] = group[j] = min(group[i], group[j])
     kept = {i: t for i, t in kept.items() if group[i] == i}
     data = [t.encode() for t in kept.values()]
-    for i, t, mark in zip(list(kept), data, covered(data, suffix_dedup.LENGTH)):
-        edges = np.flatnonzero(np.diff(np.r_[0, mark.astype(int), 0])).tolist()
-        kept[i] = suffix_dedup.whole_characters(t, edges[::2], edges[1::2])
+    for i, t, mark in zip(list(kept), data, covered(data, 200)):
+        edges = passage_edges(t, mark)
+        kept[i] = suffix_dedup.whole_characters(t, [a for a, _ in edges], [b for _, b in edges])
     assert len(kept[52]) < len(texts[52]) and len(kept[53]) < len(texts[53])
     hits = naive_hits(kept, {1: item}, decontamination.WINDOW)
     kept = {i: t for i, t in kept.items() if not hits[i][1]}
