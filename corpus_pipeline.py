@@ -32,7 +32,7 @@ def _without(keyed: DataFrame, rows: DataFrame) -> DataFrame:
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rows that the classifier does not call toxic."""
+    """Rows that the classifier does not call toxic: null and empty texts score alike, repeated rows fare alike."""
     keyed = _keyed(docs)
     return _without(keyed, toxicity.toxic_rows(keyed, table(spark, sf_dir, "labels")))
 
@@ -44,13 +44,16 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents without byte strings that occur twice; a document may be left with an empty text."""
-    left = suffix_dedup.trimmed(docs, "lang", "source")
+    """All documents without the passages of fifty words, or 400 bytes, that occur twice.
+
+    A document may be left with an empty text; a null text becomes empty; the texts of repeated rows go whole.
+    """
+    left = suffix_dedup.trimmed(docs, "lang", "source", length=suffix_dedup.PASSAGE, words=suffix_dedup.WORDS)
     return left.withColumn("n_chars", F.length("text").cast("bigint")).select(COLUMNS)
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rows without a window of a benchmark item."""
+    """Rows without a window of a benchmark item; null and empty texts have none, repeated rows fare alike."""
     keyed = _keyed(docs)
     numbered = keyed.select(F.col("row").alias("doc_id"), "text")
     leaks = decontamination.contamination(numbered, table(spark, sf_dir, "benchmark")).filter("size(hits) > 0")
