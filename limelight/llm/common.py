@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from limelight.sources.scratch import materialise
+from limelight.sources.scratch import materialise, remove, scratch_path
 
 UPPER = bytes(range(65, 91))
 LOWER_TABLE = bytes.maketrans(UPPER, UPPER.lower())
@@ -67,6 +67,13 @@ def ddl(schema: pa.Schema) -> str:
     return ", ".join(f"`{f.name}` {kinds[str(f.type)]}" for f in schema)
 
 
+def stored(df: DataFrame, label: str) -> tuple[DataFrame, Callable[[], None]]:
+    """`df` written once, and a function that removes the files; nothing may read the table after that."""
+    spark, path = df.sparkSession, scratch_path(df.sparkSession, label)
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path), lambda: remove(spark, path)
+
+
 def row_keyed(docs: DataFrame, *more: str) -> DataFrame:
     """(row, doc_id, text, *more) with a `row` that is never null and unique.
 

@@ -29,8 +29,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from limelight.llm.common import ddl, record_batch, row_keyed, values
-from limelight.plans.skew import lookup_join
+from limelight.llm.common import ddl, record_batch, row_keyed, stored, values
+from limelight.plans.skew import broadcast_if_small, lookup_join
 from limelight.sources.scratch import materialise
 
 LENGTH = 400
@@ -50,16 +50,16 @@ KEPT = pa.schema(
     [("row", pa.int64()), ("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64())]
     + [("starts", pa.list_(pa.int64())), ("ends", pa.list_(pa.int64())), ("kept", pa.binary())]
 )
+# Islands of starting positions, both ends included.
+ISLANDS = pa.schema([("row", pa.int64()), ("los", pa.list_(pa.int64())), ("his", pa.list_(pa.int64()))])
 TEXTS = pa.schema([("row", pa.int64()), ("text", pa.string())])
 DIGESTS = pa.schema(
     [(name, pa.int64()) for name in ("doc_id", "n_bytes", "n_removed", "n_spans")]
     + [("kept_sha256", pa.string()), ("n_passage", pa.int64())]
 )
-# After the first round: a digest, or the bytes of a document and the stretches that the second round looks at.
-ROUND = pa.schema(
-    [(name, pa.int64()) for name in ("row", "doc_id", "n_bytes", "n_passage")]
-    + [("kept_sha256", pa.string()), ("data", pa.binary()), ("starts", pa.list_(pa.int64())), ("ends", pa.list_(pa.int64()))]
-)
+# Islands wide enough for the second round's strings, as documents of their own.
+PARTS = pa.schema([("row", pa.int64()), ("start", pa.int64()), ("text", pa.binary())])
+JOINED = ["row", "doc_id", "text", "los", "his"]
 
 
 def as_bytes(text: str | bytes | None) -> bytes:
@@ -218,6 +218,8 @@ def _cut_out(docs: DataFrame, runs: DataFrame, length: int) -> DataFrame:
             yield record_batch(STRETCHES, columns)
 
     grouped = runs.groupBy("row").agg(F.collect_list(F.struct("lo", "hi", "at")).alias("runs"))
+    # Texts move only if too many documents have open runs.
+    grouped, _ = broadcast_if_small(materialise(grouped, "open-runs"))
     return docs.join(grouped, "row").select("row", "text", "runs").mapInArrow(run, ddl(STRETCHES))
 
 
@@ -284,16 +286,19 @@ def _positions(stretches: DataFrame, length: int) -> DataFrame:
 
 
 def repeated_strings(docs: DataFrame, length: int = LENGTH) -> DataFrame:
-    """(row, lo, hi): strings of `length` bytes that start at lo to hi in the text of `row` start elsewhere, too.
+    """(row, los, his), stored: strings of `length` bytes that start at lo to hi in the text of `row` start elsewhere, too.
 
-    `docs` has row (unique) and text.
+    `docs` has row (unique) and text (or bytes). A row per document with such strings; its islands lie in order and
+    do not touch. Tables are removed as soon as nothing is to be read from them any more.
     """
-    runs = materialise(_scan(docs, length), "runs")
+    runs, drop_runs = stored(_scan(docs, length), "runs")
     decided, open_runs = settle(runs, "runs")
+    drop_runs()
     # One position of an open run is one row here; a decided run that stands for its kind is looked at once more.
-    stretches = materialise(_cut_out(docs, open_runs, length), "stretches")
-    blocks = materialise(_blocks(stretches, length), "blocks")
+    stretches, drop_stretches = stored(_cut_out(docs, open_runs, length), "stretches")
+    blocks, drop_blocks = stored(_blocks(stretches, length), "blocks")
     more, open_blocks = settle(blocks, "blocks")
+    drop_blocks()
     pairs = open_blocks.select("row", "at", F.struct("lo", "hi").alias("block"))
     pairs = pairs.groupBy("row", "at").agg(F.collect_list("block").alias("blocks"))
     narrowed = stretches.join(pairs, ["row", "at"]).select(
@@ -302,48 +307,76 @@ def repeated_strings(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     wanted = narrowed.filter("block.lo >= begin AND block.hi + {0} <= begin + length(data)".format(length))
     cut = F.substring("data", F.col("block.lo") - F.col("begin") + 1, F.col("block.hi") - F.col("block.lo") + length)
     strings = wanted.select("row", F.col("block.lo").alias("lo"), "at", cut.alias("data"))
-    positions = materialise(_positions(strings, length), "positions")
+    positions, drop_positions = stored(_positions(strings, length), "positions")
+    drop_stretches()
     twice = positions.groupBy("all1", "all2").agg(F.count("*").alias("n")).filter("n > 1")
     twice = materialise(twice.withColumn("rank", F.struct("all1", "all2")).select("rank", "n"), "twice")
     ranked = positions.select("row", "lo", F.struct("all1", "all2").alias("rank"))
     single = lookup_join(ranked, twice, "rank", lambda: twice, "n", "inner").select("row", "lo", F.col("lo").alias("hi"))
-    return decided.unionAll(more).unionAll(single)
+    islands, _ = stored(_islands(decided.unionAll(more).unionAll(single)), "islands")
+    drop_positions()
+    return islands
+
+
+def _islands(found: DataFrame) -> DataFrame:
+    """Ranges (row, lo, hi) as islands by row. What is gathered for a row is bounded by the length of its document."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            packed = batch.column(1)
+            flat, offsets = packed.values.to_numpy(), packed.offsets.to_numpy()
+            los, his = [], []
+            for a, b in zip(offsets, offsets[1:]):
+                ranges = np.sort(flat[a:b])
+                lo, hi = ranges >> 32, np.maximum.accumulate(ranges & 0xFFFFFFFF)
+                new = np.flatnonzero(np.r_[True, lo[1:] > hi[:-1] + 1])
+                los.append(lo[new])
+                his.append(hi[np.r_[new[1:] - 1, len(hi) - 1]])
+            yield record_batch(ISLANDS, [values(batch, "row"), los, his])
+
+    packed = F.collect_list(F.expr("shiftleft(CAST(lo AS BIGINT), 32) | hi"))
+    return found.groupBy("row").agg(packed.alias("packed")).mapInArrow(run, ddl(ISLANDS))
+
+
+def byte_ranges(los: list[int] | None, his: list[int] | None, length: int) -> tuple[list[int], list[int]]:
+    """Maximal byte ranges (starts, ends) covered by the strings of `length` bytes that start in the islands."""
+    starts: list[int] = []
+    ends: list[int] = []
+    for lo, hi in zip(los or [], his or []):
+        if ends and lo <= ends[-1]:
+            ends[-1] = hi + length
+        else:
+            starts.append(lo)
+            ends.append(hi + length)
+    return starts, ends
+
+
+def without(data: bytes, starts: list[int], ends: list[int]) -> bytes:
+    return b"".join(data[a:b] for a, b in zip([0, *ends], [*starts, len(data)]))
 
 
 def _removals(docs: DataFrame, length: int, schema: pa.Schema, finish, words: int = 0) -> DataFrame:
     """Each document with its maximal removed runs; `finish` makes a result row of (row, doc_id, data, starts, ends, keep)."""
-    found = repeated_strings(docs, length)
-    # Bounded by the length of a document.
-    spans = found.groupBy("row").agg(F.collect_set(F.struct("lo", "hi")).alias("found"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             columns = [[] for _ in schema]
-            for row, key, text, found in zip(*(values(batch, c) for c in ("row", "doc_id", "text", "found"))):
+            for row, key, text, los, his in zip(*(values(batch, c) for c in JOINED)):
                 data = as_bytes(text)
-                starts, ends = merged(found or [], length)
+                starts, ends = byte_ranges(los, his, length)
                 if words:
                     starts, ends = passages(data, starts, ends, words)
-                keep = b"".join(data[a:b] for a, b in zip([0, *ends], [*starts, len(data)]))
-                for column, value in zip(columns, finish(row, key, data, starts, ends, keep)):
+                for column, value in zip(columns, finish(row, key, data, starts, ends, without(data, starts, ends))):
                     column.append(value)
             yield record_batch(schema, columns)
 
-    joined = docs.join(spans, "row", "left").select("row", "doc_id", "text", "found")
-    return joined.mapInArrow(run, ddl(schema))
+    return _joined(docs, repeated_strings(docs, length)).mapInArrow(run, ddl(schema))
 
 
-def merged(found: list[dict], length: int) -> tuple[list[int], list[int]]:
-    """Maximal removed byte ranges; ranges that touch are one."""
-    starts: list[int] = []
-    ends: list[int] = []
-    for lo, hi in sorted((f["lo"], f["hi"] + length) for f in found):
-        if ends and lo <= ends[-1]:
-            ends[-1] = max(ends[-1], hi)
-        else:
-            starts.append(lo)
-            ends.append(hi)
-    return starts, ends
+def _joined(docs: DataFrame, islands: DataFrame) -> DataFrame:
+    """Documents with their islands; texts move only if too many documents have some."""
+    sided, _ = broadcast_if_small(islands)
+    return docs.join(sided, "row", "left").select(*JOINED)
 
 
 def remove_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
@@ -365,17 +398,6 @@ def passages(data: bytes, starts: list[int], ends: list[int], words: int) -> tup
     return [a for a, _ in kept], [b for _, b in kept]
 
 
-def stretches_of(found: list[dict], short: int, length: int) -> list[tuple[int, int]]:
-    """Byte ranges of at least `length` bytes whose strings of `short` bytes are all repeated, none within another."""
-    ranges: list[list[int]] = []
-    for lo, hi in sorted((f["lo"], f["hi"]) for f in found):
-        if ranges and lo <= ranges[-1][1] + 1:
-            ranges[-1][1] = max(ranges[-1][1], hi)
-        else:
-            ranges.append([lo, hi])
-    return [(lo, hi + short) for lo, hi in ranges if hi + short - lo >= length]
-
-
 def removal_digests(docs: DataFrame, length: int = LENGTH, short: int = PASSAGE, words: int = WORDS) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 as by `remove_repeats`, and n_passage; a row per row.
 
@@ -385,54 +407,45 @@ def removal_digests(docs: DataFrame, length: int = LENGTH, short: int = PASSAGE,
     too short for the removal by `length`. It removes nothing.
     """
     docs = row_keyed(docs)
-    found = repeated_strings(docs, short)
-    spans = found.groupBy("row").agg(F.collect_set(F.struct("lo", "hi")).alias("found"))  # bounded by a document's length
+    islands = repeated_strings(docs, short)
     digest = lambda data: hashlib.sha256(data).hexdigest()
 
-    def first_round(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            columns = [[] for _ in ROUND]
-            for row, key, text, found in zip(*(values(batch, c) for c in ("row", "doc_id", "text", "found"))):
-                data, found = as_bytes(text), found or []
-                starts, ends = passages(data, *merged(found, short), words)
-                open_ = stretches_of(found, short, length)
-                count = sum(ends) - sum(starts)
-                rest = (None, data, *map(list, zip(*open_))) if open_ else (digest(data), None, None, None)
-                for column, value in zip(columns, (row, key, len(data), count, *rest)):
-                    column.append(value)
-            yield record_batch(ROUND, columns)
-
-    joined = docs.join(spans, "row", "left").select("row", "doc_id", "text", "found")
-    round_ = materialise(joined.mapInArrow(first_round, ddl(ROUND)), "first-round")
-    open_docs = round_.filter("data IS NOT NULL")
-    ranges = open_docs.select("row", "data", F.explode(F.arrays_zip("starts", "ends")).alias("at"))
-    part = F.expr("substring(data, CAST(at.starts + 1 AS INT), CAST(at.ends - at.starts AS INT))")
-    parts = ranges.select(
-        F.monotonically_increasing_id().alias("row"), F.col("row").alias("of"), F.col("at.starts").alias("start"), part.alias("text")
-    )
-    parts = materialise(parts, "stretches-of-documents")
+            columns = [[] for _ in PARTS]
+            for row, _, text, los, his in zip(*(values(batch, c) for c in JOINED)):
+                data = as_bytes(text)
+                for lo, hi in zip(los, his):
+                    if hi + short - lo >= length:
+                        for column, value in zip(columns, (row, lo, data[lo : hi + short])):
+                            column.append(value)
+            yield record_batch(PARTS, columns)
+
+    wide = islands.filter(F.exists(F.arrays_zip("los", "his"), lambda at: at["his"] - at["los"] >= length - short))
+    sided, _ = broadcast_if_small(islands, wide)
+    parts = docs.join(sided, "row").select(*JOINED).mapInArrow(cut, ddl(PARTS))
+    parts = materialise(parts.select(F.monotonically_increasing_id().alias("row"), F.col("row").alias("of"), "start", "text"), "wide-islands")
     again = repeated_strings(parts.select("row", "text"), length)
-    placed = again.join(parts.select("row", "of", "start"), "row").select(
-        F.col("of").alias("row"), F.expr("struct(lo + start AS lo, hi + start AS hi)").alias("span")
-    )
-    spans = placed.groupBy("row").agg(F.collect_set("span").alias("found"))
+    shifted = lambda name: F.transform(name, lambda at: at + F.col("start"))
+    moved = again.join(parts.select("row", "of", "start"), "row")
+    moved = moved.select("of", F.explode(F.arrays_zip(shifted("los").alias("lo"), shifted("his").alias("hi"))).alias("at"))
+    long = moved.groupBy(F.col("of").alias("row")).agg(F.sort_array(F.collect_list("at")).alias("long"))
+    both, _ = broadcast_if_small(materialise(islands.join(long, "row", "left"), "both-rounds"))
 
-    def second_round(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             columns = [[] for _ in DIGESTS]
-            for key, data, found, count in zip(*(values(batch, c) for c in ("doc_id", "data", "found", "n_passage"))):
-                starts, ends = merged(found or [], length)
-                keep = b"".join(data[a:b] for a, b in zip([0, *ends], [*starts, len(data)]))
-                result = (key, len(data), len(data) - len(keep), len(starts), digest(keep), count)
+            for key, text, los, his, long in zip(*(values(batch, c) for c in ("doc_id", "text", "los", "his", "long"))):
+                data = as_bytes(text)
+                told = passages(data, *byte_ranges(los, his, short), words)
+                starts, ends = byte_ranges([at["lo"] for at in long or []], [at["hi"] for at in long or []], length)
+                keep = without(data, starts, ends)
+                result = (key, len(data), len(data) - len(keep), len(starts), digest(keep), sum(told[1]) - sum(told[0]))
                 for column, value in zip(columns, result):
                     column.append(value)
             yield record_batch(DIGESTS, columns)
 
-    judged = open_docs.join(spans, "row", "left").select("doc_id", "data", "found", "n_passage")
-    closed = round_.filter("data IS NULL").select(
-        "doc_id", "n_bytes", F.lit(0).cast("bigint").alias("n_removed"), F.lit(0).cast("bigint").alias("n_spans"), "kept_sha256", "n_passage"
-    )
-    return closed.unionByName(judged.mapInArrow(second_round, ddl(DIGESTS)))
+    return docs.join(both, "row", "left").select("doc_id", "text", "los", "his", "long").mapInArrow(finish, ddl(DIGESTS))
 
 
 def whole_characters(data: bytes, starts: list[int], ends: list[int]) -> str:
