@@ -15,8 +15,9 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 import public_tokenizers
-from limelight.llm import byte_bpe, decontamination, hilbert, license_scan, merkle, simhash, suffix_dedup
+from limelight.llm import byte_bpe, decontamination, hilbert, license_scan, merkle, queries, simhash, suffix_dedup
 from limelight.llm import suffix_tree_lm, toxicity, warc
+from limelight.llm.common import spaced_words
 from limelight.llm.license_templates import TEMPLATES
 
 from .helpers import documents, prose
@@ -185,10 +186,11 @@ def test_language_model(spark):
     texts = {i: chained(i, 200) + f" Rare{i}" for i in range(70)}
     found = {r["doc_id"]: r for r in suffix_tree_lm.score(documents(spark, list(texts.items())), 4_000).collect()}
     held = {i: zlib.crc32(str(i).encode()) % 7 == 2 for i in texts}
-    counts = Counter(t for i, text in texts.items() if not held[i] for t in suffix_tree_lm.tokens(text))
+    split = lambda text: [*spaced_words(text), b"\n"]
+    counts = Counter(t for i, text in texts.items() if not held[i] for t in split(text))
     n, v = sum(counts.values()), len(counts)
     for i, text in texts.items():
-        tokens, r = suffix_tree_lm.tokens(text), found[i]
+        tokens, r = split(text), found[i]
         assert (r["held_out"], r["n_tokens"], r["train_tokens"]) == (held[i], len(tokens), n)
         assert r["n_known"] == sum(counts[t] > 0 for t in tokens)
         assert r["base_score"] == pytest.approx(sum(math.log10((counts[t] + 1) / (n + v + 1)) for t in tokens))
@@ -196,10 +198,11 @@ def test_language_model(spark):
 
 
 def test_next_symbols_are_a_distribution(spark):
-    docs = suffix_tree_lm.prepared(documents(spark, [(i, chained(i, 100)) for i in range(40)]))
-    counts = suffix_tree_lm.asked_tokens(docs).groupBy("token").agg(F.sum("n").alias("n"))
+    chunks = suffix_tree_lm.chunked(documents(spark, [(i, chained(i, 100)) for i in range(40)]), 3_000)
+    asked = suffix_tree_lm.with_totals(suffix_tree_lm.asked_tokens(chunks)).filter("first")
+    counts = asked.select("token", "ending", F.col("total").alias("n"))
     letters = suffix_tree_lm.alphabet(counts, counts.agg(F.sum("n")).first()[0])
-    tree = suffix_tree_lm.grow(docs, letters)
+    tree = suffix_tree_lm.grow(chunks, letters)
     assert (10**tree.root).sum() == pytest.approx(1)
     assert len(tree.codes[0]) > 10
     for codes, logs in zip(tree.codes, tree.logs):
@@ -208,6 +211,49 @@ def test_next_symbols_are_a_distribution(spark):
         assert np.isin(longer % tree.size**length, shorter).all()
 
 
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.one_of(st.none(), st.text(alphabet="aB é世\u00a0\n\t.", max_size=40)), max_size=8), st.sampled_from([3, 16, 1 << 20]))
+def test_hashed_tokens(texts, most):
+    before, suffix_tree_lm.SLICE_BYTES = suffix_tree_lm.SLICE_BYTES, most
+    try:
+        token, ending, lengths = suffix_tree_lm.tokenised(texts, suffix_tree_lm.Words())
+    finally:
+        suffix_tree_lm.SLICE_BYTES = before
+    words = [w for t in texts for w in [*spaced_words(t), None]]
+    assert lengths.tolist() == [len(spaced_words(t)) + 1 for t in texts] and len(token) == len(ending) == len(words)
+    for hashes, names in ((token, words), (ending, [w if w is None else w.decode()[-2:] for w in words])):
+        assert len(set(zip(hashes.tolist(), names))) == len(set(hashes.tolist())) == len(set(names))
+    assert all((h == suffix_tree_lm.END) == (w is None) for h, w in zip(token.tolist(), words))
+
+
+def test_scores_of_the_whole_table(spark):
+    sf_dir = "/root/testdata/sf0.01"
+    texts = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()}
+    split = {i: [*spaced_words(t), b"\n"] for i, t in texts.items()}
+    held = {i: zlib.crc32(str(i).encode()) % 7 == 2 for i in texts}
+    counts = Counter(w for i in texts if not held[i] for w in split[i])
+    n, v = sum(counts.values()), len(counts)
+    found = queries.op5_suffix_tree_lm(spark, sf_dir).collect()
+    assert len(found) == len(texts)
+    for r in found:
+        words = split[r["doc_id"]]
+        known = sum(counts[w] > 0 for w in words)
+        assert (r["held_out"], r["n_tokens"], r["n_known"], r["train_tokens"]) == (held[r["doc_id"]], len(words), known, n)
+        assert r["base_score"] == pytest.approx(sum(math.log10((counts[w] + 1) / (n + v + 1)) for w in words))
+    held_rows = [r for r in found if r["held_out"]]
+    assert sum(r["score"] for r in held_rows) > 0.95 * sum(r["base_score"] for r in held_rows)
+
+
+def test_chunks_do_not_show(spark):
+    rows = [(i % 7, chained(i, 60)) for i in range(40)] + [(3, "same words")] * 30
+    docs = documents(spark, rows)
+    whole, parts = (
+        sorted((r["doc_id"], r["n_known"], round(r["base_score"], 6), round(r["score"], 4)) for r in suffix_tree_lm.score(docs, size).collect())
+        for size in (1 << 20, 100)
+    )
+    assert whole == parts
+
+
 # Decontamination -----------------------------------------------------------------------------
 
 
