@@ -47,12 +47,11 @@ RUNS = pa.schema(
 STRETCHES = pa.schema([("row", pa.int64()), ("lo", pa.int32()), ("at", pa.int32()), ("data", pa.binary())])
 POSITIONS = pa.schema([("row", pa.int64()), ("lo", pa.int32()), ("all1", pa.int64()), ("all2", pa.int64())])
 KEPT = pa.schema(
-    [("row", pa.int64()), ("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64())]
+    [("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64())]
     + [("starts", pa.list_(pa.int64())), ("ends", pa.list_(pa.int64())), ("kept", pa.binary())]
 )
 # Islands of starting positions, both ends included.
 ISLANDS = pa.schema([("row", pa.int64()), ("los", pa.list_(pa.int64())), ("his", pa.list_(pa.int64()))])
-TEXTS = pa.schema([("row", pa.int64()), ("text", pa.string())])
 DIGESTS = pa.schema(
     [(name, pa.int64()) for name in ("doc_id", "n_bytes", "n_removed", "n_spans")]
     + [("kept_sha256", pa.string()), ("n_passage", pa.int64())]
@@ -355,24 +354,6 @@ def without(data: bytes, starts: list[int], ends: list[int]) -> bytes:
     return b"".join(data[a:b] for a, b in zip([0, *ends], [*starts, len(data)]))
 
 
-def _removals(docs: DataFrame, length: int, schema: pa.Schema, finish, words: int = 0) -> DataFrame:
-    """Each document with its maximal removed runs; `finish` makes a result row of (row, doc_id, data, starts, ends, keep)."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            columns = [[] for _ in schema]
-            for row, key, text, los, his in zip(*(values(batch, c) for c in JOINED)):
-                data = as_bytes(text)
-                starts, ends = byte_ranges(los, his, length)
-                if words:
-                    starts, ends = passages(data, starts, ends, words)
-                for column, value in zip(columns, finish(row, key, data, starts, ends, without(data, starts, ends))):
-                    column.append(value)
-            yield record_batch(schema, columns)
-
-    return _joined(docs, repeated_strings(docs, length)).mapInArrow(run, ddl(schema))
-
-
 def _joined(docs: DataFrame, islands: DataFrame) -> DataFrame:
     """Documents with their islands; texts move only if too many documents have some."""
     sided, _ = broadcast_if_small(islands)
@@ -386,10 +367,20 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     and the texts of repeated rows repeat each other. Strings never cross documents. Strings are
     judged on the input, so every occurrence of a repeated string goes.
     """
-    finish = lambda row, key, data, starts, ends, keep: (
-        row, key, len(data), len(data) - len(keep), starts, ends, keep
-    )
-    return _removals(row_keyed(docs), length, KEPT, finish).drop("row")
+    docs = row_keyed(docs)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            columns = [[] for _ in KEPT]
+            for key, text, los, his in zip(*(values(batch, c) for c in JOINED[1:])):
+                data = as_bytes(text)
+                starts, ends = byte_ranges(los, his, length)
+                keep = without(data, starts, ends)
+                for column, value in zip(columns, (key, len(data), len(data) - len(keep), starts, ends, keep)):
+                    column.append(value)
+            yield record_batch(KEPT, columns)
+
+    return _joined(docs, repeated_strings(docs, length)).mapInArrow(run, ddl(KEPT))
 
 
 def passages(data: bytes, starts: list[int], ends: list[int], words: int) -> tuple[list[int], list[int]]:
@@ -470,6 +461,20 @@ def trimmed(docs: DataFrame, *more: str, length: int = LENGTH, words: int = 0) -
     With `words`, only runs of repeated strings that have so many words, or LENGTH bytes, are cut.
     """
     keyed = row_keyed(docs, *more)
-    finish = lambda row, key, data, starts, ends, keep: (row, whole_characters(data, starts, ends))
-    texts = _removals(keyed, length, TEXTS, finish, words)
-    return keyed.drop("text").join(texts, "row").select("doc_id", "text", *more)
+    sided, _ = broadcast_if_small(repeated_strings(keyed, length))
+    joined = keyed.join(sided, "row", "left").select("doc_id", *more, "text", "los", "his")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = []
+            for text, los, his in zip(*(values(batch, c) for c in ("text", "los", "his"))):
+                data = as_bytes(text)
+                starts, ends = byte_ranges(los, his, length)
+                if words:
+                    starts, ends = passages(data, starts, ends, words)
+                texts.append(whole_characters(data, starts, ends))
+            kept = [batch.column(batch.schema.get_field_index(c)) for c in ("doc_id", *more)]
+            yield pa.RecordBatch.from_arrays([*kept, pa.array(texts, pa.string())], names=["doc_id", *more, "text"])
+
+    schema = joined.select("doc_id", *more, "text").schema
+    return joined.mapInArrow(run, schema).select("doc_id", "text", *more)
