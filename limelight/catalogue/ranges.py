@@ -13,29 +13,35 @@ from limelight.sources.datasets import append_rows, read_dataset
 from limelight.sources.scratch import scratch_path
 
 
-def breakdown_sql(axis: str, limit: int) -> str:
-    """Count the rows of every cell of every level, keep cells below the limit whose parent is not."""
+def breakdown_sql(points: str, limit: int) -> str:
+    """Halve again and again what holds `limit` rows or more. `points` gives x, lo and w, the width of its initial range."""
     return f"""
-    WITH p AS (SELECT {axis} AS x FROM events),
-    b AS (SELECT min(x) AS lo, max(x) + 1 - min(x) AS w FROM p),
-    d AS (SELECT min(i) AS deepest FROM range(0, 49) t(i), b WHERE (2 ** i)::HUGEINT >= w),
-    c AS (SELECT i AS level, ((x - lo)::HUGEINT * (2 ** i)::HUGEINT) // w AS cell, count(*) AS n
-          FROM p, b, d, range(0, 49) t(i) WHERE i <= deepest GROUP BY ALL),
-    leaf AS (SELECT c.* FROM d, c LEFT JOIN c AS q ON q.level = c.level - 1 AND q.cell = c.cell // 2
-             WHERE (c.n < {limit} OR c.level = deepest) AND (c.level = 0 OR q.n >= {limit}))
+    WITH RECURSIVE p AS ({points}),
+    d AS (SELECT min(i) AS deepest FROM range(0, 57) t(i), (SELECT max(w) AS w FROM p) WHERE (2 ** i)::HUGEINT >= w),
+    r AS (SELECT x, lo, w, deepest, 0 AS level, 0::HUGEINT AS cell, count(*) OVER (PARTITION BY lo) AS n FROM p, d
+          UNION ALL
+          SELECT x, lo, w, deepest, level, cell, count(*) OVER (PARTITION BY lo, cell) AS n
+          FROM (SELECT x, lo, w, deepest, level + 1 AS level,
+                       ((x - lo)::HUGEINT * (2 ** (level + 1))::HUGEINT) // w AS cell
+                FROM r WHERE n >= {limit} AND level < deepest)),
+    leaf AS (SELECT DISTINCT lo, w, level, cell, n FROM r WHERE n < {limit} OR level = deepest)
     SELECT (lo + (cell * w + (2 ** level)::HUGEINT - 1) // (2 ** level)::HUGEINT)::BIGINT AS "start",
            (lo + ((cell + 1) * w + (2 ** level)::HUGEINT - 1) // (2 ** level)::HUGEINT)::BIGINT AS "end",
-           n AS num, level::INTEGER AS depth, n >= {limit} AS overflow FROM leaf, b"""
+           n AS num, level::INTEGER AS depth, n >= {limit} AS overflow FROM leaf"""
 
 
-@query(breakdown_sql("epoch_us(ts)", 1000))
+def whole_span(axis: str) -> str:
+    return f"SELECT x, min(x) OVER () AS lo, max(x) OVER () + 1 - min(x) OVER () AS w FROM (SELECT {axis} AS x FROM events)"
+
+
+@query(breakdown_sql(whole_span("epoch_us(ts)"), 1000))
 def range_breakdown(spark, sf_dir):
     return ranges.range_breakdown(table(spark, sf_dir, "events"), micros(F.col("ts")))
 
 
 @query(
     f"""SELECT make_timestamp("start") AS startdate, make_timestamp("end") AS enddate, num AS numrepos
-    FROM ({breakdown_sql("epoch_us(ts)", 1000)})"""
+    FROM ({breakdown_sql(whole_span("epoch_us(ts)"), 1000)}) WHERE NOT overflow"""
 )
 def stored_periods(spark, sf_dir):
     """The periods table after appending the accepted ranges."""
@@ -48,35 +54,27 @@ def stored_periods(spark, sf_dir):
 SKEWED_SQL = "((epoch_us(ts) // 1000000 - 1704067200) * (epoch_us(ts) // 1000000 - 1704067200))"
 
 
-@query(breakdown_sql(SKEWED_SQL, 1000))
+@query(breakdown_sql(whole_span(SKEWED_SQL), 1000))
 def range_breakdown_skewed(spark, sf_dir):
     """Most rows crowd at the beginning of the axis."""
     seconds = F.call_function("div", micros(F.col("ts")), F.lit(1_000_000)) - 1704067200
     return ranges.range_breakdown(table(spark, sf_dir, "events"), seconds * seconds)
 
 
-@query(breakdown_sql("epoch_us(date_trunc('day', ts)::TIMESTAMP)", 340))
+@query(breakdown_sql(whole_span("epoch_us(date_trunc('day', ts)::TIMESTAMP)"), 340))
 def range_breakdown_overflow(spark, sf_dir):
     """Whole days as instants: the fuller ones hold more rows than the limit and cannot be cut."""
     return ranges.range_breakdown(table(spark, sf_dir, "events"), micros(F.date_trunc("day", "ts")), 340)
 
 
-YEARS_SQL = """
-    WITH p AS (SELECT epoch_us(o_orderdate) AS x, epoch_us(date_trunc('year', o_orderdate)::TIMESTAMP) AS lo,
-               epoch_us(date_trunc('year', o_orderdate)::TIMESTAMP + INTERVAL 1 YEAR) AS hi FROM orders),
-    d AS (SELECT min(i) AS deepest FROM range(0, 49) t(i), (SELECT max(hi - lo) AS w FROM p)
-          WHERE (2 ** i)::HUGEINT >= w),
-    c AS (SELECT lo, hi - lo AS w, i AS level, ((x - lo)::HUGEINT * (2 ** i)::HUGEINT) // (hi - lo) AS cell,
-                 count(*) AS n FROM p, d, range(0, 49) t(i) WHERE i <= deepest GROUP BY ALL),
-    leaf AS (SELECT c.* FROM d, c LEFT JOIN c AS q ON q.lo = c.lo AND q.level = c.level - 1 AND q.cell = c.cell // 2
-             WHERE (c.n < 1000 OR c.level = deepest) AND (c.level = 0 OR q.n >= 1000))
-    SELECT make_timestamp((lo + (cell * w + (2 ** level)::HUGEINT - 1) // (2 ** level)::HUGEINT)::BIGINT) AS startdate,
-           make_timestamp((lo + ((cell + 1) * w + (2 ** level)::HUGEINT - 1) // (2 ** level)::HUGEINT)::BIGINT)
-               AS enddate,
-           n AS numrepos, n >= 1000 AS overflow FROM leaf"""
+YEARS = """SELECT epoch_us(o_orderdate) AS x, epoch_us(date_trunc('year', o_orderdate)::TIMESTAMP) AS lo,
+    epoch_us(date_trunc('year', o_orderdate)::TIMESTAMP + INTERVAL 1 YEAR) - lo AS w FROM orders"""
 
 
-@query(YEARS_SQL)
+@query(
+    f"""SELECT make_timestamp("start") AS startdate, make_timestamp("end") AS enddate, num AS numrepos, overflow
+    FROM ({breakdown_sql(YEARS, 1000)})"""
+)
 def range_breakdown_years(spark, sf_dir):
     """Every calendar year halved by itself, all years in one pass."""
     found = ranges.time_breakdown(table(spark, sf_dir, "orders"), "o_orderdate", unit="year")
@@ -107,6 +105,24 @@ def assign_periods(spark, sf_dir):
     return found.select("event_id", ntz(F.col("startdate")).alias("startdate"), ntz(F.col("enddate")).alias("enddate"))
 
 
+OVERLAPPING_SQL = """SELECT user_id, startdate, startdate + to_milliseconds((user_id % 5 * user_id % 9973 + 1) * 60000) AS enddate
+    FROM (SELECT user_id, min(ts) AS startdate FROM events WHERE user_id % 3 = 0 GROUP BY user_id)"""
+
+
+@query(
+    f"""WITH p AS (SELECT DISTINCT startdate, enddate FROM ({OVERLAPPING_SQL}))
+    SELECT event_id, startdate, enddate FROM events LEFT JOIN p ON ts >= startdate AND ts < enddate"""
+)
+def assign_overlapping(spark, sf_dir):
+    """Each event with all periods it lies in, of a minute to weeks after the first act of some users."""
+    events = table(spark, sf_dir, "events")
+    first = events.filter("user_id % 3 = 0").groupBy("user_id").agg(F.min("ts").alias("startdate"))
+    minutes = F.expr("make_dt_interval(0, 0, CAST(user_id % 5 * user_id % 9973 + 1 AS INT), 0)")
+    periods = first.select("startdate", (F.col("startdate") + minutes).alias("enddate")).distinct()
+    found = ranges.assign_periods(events.select("event_id", "ts"), "ts", periods)
+    return found.select("event_id", ntz(F.col("startdate")).alias("startdate"), ntz(F.col("enddate")).alias("enddate"))
+
+
 @query(
     f"""SELECT startdate, least(enddate, TIMESTAMP '2024-01-15 12:00:00') AS enddate, numrepos FROM ({DAYS_SQL})
     WHERE startdate <= TIMESTAMP '2024-01-15 12:00:00'"""

@@ -8,14 +8,15 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from limelight.functions.timing import from_micros, micros, period_id
-from limelight.plans.ordered import running_number, running_value
+from limelight.plans.ordered import SLICE, running_number, running_value, sampled_bounds, slice_of
+from limelight.plans.skew import broadcast_if_small, lookup_join
 from limelight.sources.scratch import materialise
 
 # A range is small enough below this row count; searches were sent in groups of this size.
 RANGE_LIMIT = 1000
 BATCH_SIZE = 300
 
-MIN_LEVELS_PER_PASS, MAX_LEVELS_PER_PASS = 12, 20
+SPARE_LEVELS = 2  # beyond those that an even spread needs
 MAX_LEVELS = 56
 
 
@@ -62,10 +63,11 @@ def range_breakdown(
     are left out. `overflow` marks a single axis value with `limit` rows or more, which no
     halving can cut.
 
-    One pass counts the rows in cells fine enough for an even spread and adds the counts up
-    the tree of halves. Only where a cell of that pass is still too full is the axis counted
-    again, with finer cells: at most five passes for any span and any skew. Counts are
-    pre-aggregated before each shuffle, so a crowded instant is one row per task.
+    One pass counts the rows in cells fine enough for an even spread and adds the counts up the tree of halves.
+    Only where a cell of that pass is still too full is the axis counted again: the crowded cells
+    are the frontier, rows outside of it are left out before anything is grouped, and its fullest cell says how many
+    halvings the next pass takes, as many as there have been at least. So a crowded instant is cut down to its
+    unit in a few passes. Counts are pre-aggregated before each shuffle: such an instant is one row per task.
     """
     points = df.select(axis.cast("bigint").alias("x"), *([] if lo is None else [lo.alias("lo"), hi.alias("hi")]))
     points = points.filter("x is not null" if lo is None else "x >= lo and x < hi")
@@ -82,29 +84,21 @@ def range_breakdown(
     if deepest > MAX_LEVELS:
         raise ValueError(f"the axis spans more than 2^{MAX_LEVELS} units; use a coarser unit")
     step = 62 - deepest
-    needed = (n // max(limit, 1)).bit_length() + 3
-    per_pass = min(MAX_LEVELS_PER_PASS, max(MIN_LEVELS_PER_PASS, needed))
-
-    leaves = None
-    top, crowded = 0, None
+    leaves, frontier, top, fullest = None, None, 0, n
     while True:
-        bottom = min(top + per_pass, deepest)
-        cell = _cell(F.col("x") - F.col("lo"), F.col("width"), bottom, step)
-        counts = points.groupBy("lo", "width", cell.alias("cell")).agg(F.count("*").alias("n"))
-        if crowded is not None:
-            counts = counts.withColumn("root", F.shiftright("cell", bottom - top)).join(
-                crowded, ["lo", "width", "root"], "left_semi"
-            )
+        bottom = min(top + max(top, _levels_needed(fullest, limit)), deepest)
+        counts = _cell_counts(points, frontier, top, bottom, step)
         nodes = materialise(_tree(counts, top, bottom), "range-tree")
         found = _leaves(nodes, top, deepest, limit)
         leaves = found if leaves is None else leaves.unionByName(found)
         if bottom == deepest:
             break
         full = (F.col("level") == bottom) & (F.col("n") >= limit)
-        crowded = nodes.filter(full).select("lo", "width", F.col("cell").alias("root"))
-        if crowded.isEmpty():
+        frontier = nodes.filter(full).select(F.struct("lo", "width", "cell").alias("root"), "n")
+        fullest = frontier.agg(F.max("n")).first()[0]
+        if fullest is None:
             break
-        top = bottom
+        frontier, top = materialise(frontier, "crowded-cells"), bottom
     return leaves.select(
         _edge(F.col("cell")).alias("start"),
         _edge(F.col("cell") + 1).alias("end"),
@@ -114,6 +108,24 @@ def range_breakdown(
     )
 
 
+def _levels_needed(rows: int, limit: int) -> int:
+    """Halvings that bring an even spread of `rows` below the limit, and some more."""
+    return (rows // max(limit, 1)).bit_length() + SPARE_LEVELS
+
+
+def _cell_counts(points: DataFrame, frontier: DataFrame | None, top: int, bottom: int, step: int) -> DataFrame:
+    """Rows per cell of level `bottom`, of those in the cells of level `top` that the frontier (root, n) names.
+
+    The frontier meets the single rows, before they are grouped: what is grouped and shuffled is what is crowded.
+    """
+    place = F.col("x") - F.col("lo")
+    if frontier is not None:
+        root = F.struct("lo", "width", _cell(place, F.col("width"), top, step).alias("cell"))
+        points = lookup_join(points.withColumn("root", root), frontier.select("root"), "root", lambda: frontier, "n", "inner")
+    cell = _cell(place, F.col("width"), bottom, step)
+    return points.groupBy("lo", "width", cell.alias("cell")).agg(F.count("*").alias("n"))
+
+
 def _tree(counts: DataFrame, top: int, bottom: int) -> DataFrame:
     """Counts of all cells from level `top` down to `bottom`, given those of `bottom`."""
     levels = F.explode(F.sequence(F.lit(top), F.lit(bottom))).alias("level")
@@ -158,83 +170,112 @@ def time_breakdown(df: DataFrame, ts: str, limit: int = RANGE_LIMIT, unit: str |
 def count_per_period(rows: DataFrame, ts: str, periods: DataFrame, start: str = "startdate", end: str = "enddate"):
     """Number of rows in each half-open period; periods may overlap, be empty and be as many as the rows.
 
-    rows in [start, end) = rows before `end` minus rows before `start`. Both come from one
-    running sum over instants and boundaries in time order: no range join, no broadcast of
-    the periods, and an instant shared by many rows is a single row before the shuffle.
+    rows in [start, end) = rows before `end` minus rows before `start`. Both come from one running sum over
+    instants and boundaries in time order: no range join, no broadcast of the periods. Time is cut into slices
+    at quantiles of the rows, so a row moves once, to its slice, and nothing is written. An instant that holds
+    a slice or more by itself is counted before it moves.
     """
-    instants = rows.groupBy(F.col(ts).alias("__at")).agg(F.count("*").alias("__n")).filter("__at is not null")
-    none = F.lit(None)
+    spark = rows.sparkSession
+    facts = rows.select(micros(F.col(ts)).alias("__at")).filter("__at is not null")
+    quantiles = sampled_bounds(facts, F.col("__at"), int(spark.conf.get("spark.sql.shuffle.partitions")))
+    bounds = sorted(set(quantiles))
+    crowded = F.col("__at").isin([b for b in bounds if quantiles.count(b) > 1] or [None])
+    crowded = F.coalesce(crowded, F.lit(False))
+    single = facts.filter(~crowded).withColumn("__n", F.lit(1).cast("bigint"))
+    counted = facts.filter(crowded).groupBy("__at").agg(F.count("*").alias("__n"))  # an instant for each quantile at most
+    instants = single.unionByName(counted)
+    in_slice = slice_of(F.col("__at"), bounds).alias(SLICE)
     kind = {c: periods.schema[c].dataType for c in (start, end)}
-    instants = instants.select(
-        micros(F.col("__at")).alias("__at"),
-        F.lit(1).alias("__kind"),
-        none.cast(kind[start]).alias(start),
-        none.cast(kind[end]).alias(end),
-        F.lit(0).alias("__sign"),
-        "__n",
-    )
+    none = [F.lit(None).cast(kind[c]).alias(c) for c in (start, end)]
+    events = instants.select("__at", in_slice, F.lit(1).alias("__kind"), *none, F.lit(0).alias("__sign"), "__n")
     # A boundary sorts before the rows of its own instant: it sees only what lies before it.
     sides = F.array(
         F.struct(micros(F.col(start)).alias("__at"), F.lit(-1).alias("__sign")),
         F.struct(micros(F.col(end)).alias("__at"), F.lit(1).alias("__sign")),
     )
-    boundaries = periods.select(start, end).distinct().select(start, end, F.inline(sides)).select(
-        "__at", F.lit(0).alias("__kind"), start, end, "__sign", F.lit(0).cast("bigint").alias("__n")
+    boundaries = periods.select(start, end).distinct().select(start, end, F.inline(sides))
+    boundaries = boundaries.select(
+        "__at", in_slice, F.lit(0).alias("__kind"), start, end, "__sign", F.lit(0).cast("bigint").alias("__n")
     )
-    order = ["__at", "__kind", start, end, "__sign"]
-    swept = running_value(instants.unionByName(boundaries), order, "sum", "__n", "__before")
+    # One row per slice.
+    totals = instants.groupBy(in_slice).agg(F.sum("__n").alias("__total"))
+    earlier = Window.orderBy(SLICE).rowsBetween(Window.unboundedPreceding, -1)
+    slices = spark.range(len(bounds) + 1).select(F.col("id").cast("int").alias(SLICE)).join(totals, SLICE, "left")
+    carried = slices.select(SLICE, F.coalesce(F.sum("__total").over(earlier), F.lit(0)).alias("__carried"))
+    here = Window.partitionBy(SLICE).orderBy("__at", "__kind").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    swept = events.unionByName(boundaries).withColumn("__here", F.sum("__n").over(here)).filter("__kind = 0")
+    before = F.col("__here") + F.col("__carried")
     return (
-        swept.filter("__kind = 0")
+        swept.join(F.broadcast(carried), SLICE)
         .groupBy(start, end)
-        .agg(F.greatest(F.sum(F.col("__sign") * F.col("__before")), F.lit(0)).alias("numrepos"))
+        .agg(F.greatest(F.sum(F.col("__sign") * before), F.lit(0)).alias("numrepos"))
     )
 
 
-def refuse_overlaps(periods: DataFrame, start: str = "startdate", end: str = "enddate") -> None:
-    """Fail if two periods share an instant: never more than one may be open at a time."""
-    opened = periods.select(micros(F.col(start)).alias("__at"), F.lit(1).alias("__sign"))
-    closed = periods.select(micros(F.col(end)).alias("__at"), F.lit(-1).alias("__sign"))
-    events = opened.unionByName(closed).filter("__at is not null")
-    most = running_value(events, ["__at", "__sign"], "sum", "__sign", "__open").agg(F.max("__open")).first()[0]
-    if most is not None and most > 1:
-        raise ValueError(f"{most} periods overlap at some instant; a row could not be given to one of them")
+CELLS_PER_PERIOD = 3  # as a power of two: a period is covered by about 2^3 aligned cells
+
+
+def period_cells(periods: DataFrame, start: str = "startdate", end: str = "enddate") -> DataFrame:
+    """Each period with the aligned cells that cover it: (level, cell) is [cell * 2^level, (cell + 1) * 2^level).
+
+    The level follows the length of the period, so nine cells are enough for any; empty periods have none.
+    """
+    bounded = periods.select(start, end, micros(F.col(start)).alias("__from"), micros(F.col(end)).alias("__to"))
+    level = F.greatest(F.length(F.bin(F.col("__to") - F.col("__from"))) - CELLS_PER_PERIOD, F.lit(0))
+    shift = lambda at: F.call_function("shiftright", at, F.col("__level"))
+    return (
+        bounded.filter("__from < __to")
+        .withColumn("__level", level)
+        .withColumn("__cell", F.explode(F.sequence(shift(F.col("__from")), shift(F.col("__to") - 1))))
+    )
 
 
 def assign_periods(rows: DataFrame, ts: str, periods: DataFrame, start: str = "startdate", end: str = "enddate"):
-    """Each row with the period it lies in (null if none); periods that overlap are refused.
+    """Each row with every period it lies in; once with nulls if there is none. Periods may overlap.
 
-    Period starts are sorted in among the rows and the latest one carried forward, so a row
-    is moved once and never compared with more than one period.
+    Periods are covered by aligned cells. A row knows its cell of any level, so rows and periods meet in an equality
+    join on (level, cell); the cells at the ends of a period are compared exactly. A row is looked up once per level,
+    of which there are as many as orders of magnitude of period lengths. Few cells are broadcast, and then no row moves.
+    """
+    cells = materialise(period_cells(periods, start, end), "period-cells")
+    levels = sorted(r[0] for r in cells.select("__level").distinct().collect())  # 63 at most
+    none = [F.lit(None).cast(periods.schema[c].dataType).alias(c) for c in (start, end)]
+    if not levels:
+        return rows.select("*", *none)
+    sided, _ = broadcast_if_small(cells)
+    level = F.explode(F.array(*map(F.lit, levels))) if len(levels) > 1 else F.lit(levels[0])
+    placed = rows.withColumn("__at", micros(F.col(ts))).withColumn("__row_level", level)
+    placed = placed.withColumn("__row_cell", F.call_function("shiftright", F.col("__at"), F.col("__row_level")))
+    meets = (F.col("__row_level") == F.col("__level")) & (F.col("__row_cell") == F.col("__cell"))
+    meets &= (F.col("__at") >= F.col("__from")) & (F.col("__at") < F.col("__to"))
+    columns = [*rows.columns, start, end]
+    if len(levels) == 1:
+        return placed.join(sided, meets, "left").select(*columns)
+    matched = placed.join(sided, meets, "inner").select(*columns)
+    # Which rows have no period depends on the union of all periods alone.
+    outside = _outside(rows, ts, cells.select(start, end).distinct(), start, end)
+    return matched.unionByName(outside.select(*rows.columns, *none))
+
+
+def _outside(rows: DataFrame, ts: str, periods: DataFrame, start: str, end: str) -> DataFrame:
+    """Rows in none of the periods: after the last start before them, the latest end so far has passed.
+
+    Boundaries are sorted in among the rows and the latest end carried forward, so a row is moved once and never
+    compared with a period.
     """
-    refuse_overlaps(periods, start, end)
-    at = micros(F.col(ts))
     # The hash spreads rows of one crowded instant over several slices.
-    facts = rows.withColumns(
-        {"__at": at, "__kind": F.lit(1), "__tie": F.xxhash64(*rows.columns), "__period": F.lit(None).cast(
-            f"struct<at:bigint,{start}:{periods.schema[start].dataType.simpleString()},"
-            f"{end}:{periods.schema[end].dataType.simpleString()}>"
-        )}
-    )
+    facts = rows.withColumns({"__at": micros(F.col(ts)), "__kind": F.lit(1), "__tie": F.xxhash64(*rows.columns)})
+    facts = facts.withColumn("__until", F.lit(None).cast("bigint"))
     marks = periods.select(
         micros(F.col(start)).alias("__at"),
         F.lit(0).alias("__kind"),
         F.lit(0).cast("bigint").alias("__tie"),
-        F.struct(micros(F.col(start)).alias("at"), F.col(start), F.col(end)).alias("__period"),
+        micros(F.col(end)).alias("__until"),
     )
     merged = facts.filter("__at is not null").unionByName(marks, allowMissingColumns=True)
-    swept = running_value(merged, ["__at", "__kind", "__tie"], "max", "__period", "__latest").filter("__kind = 1")
-    inside = F.col("__at") < micros(F.col(f"__latest.{end}"))
-    found = swept.select(
-        *rows.columns,
-        F.when(inside, F.col(f"__latest.{start}")).alias(start),
-        F.when(inside, F.col(f"__latest.{end}")).alias(end),
-    )
-    undated = rows.filter(F.col(ts).isNull()).select(
-        "*",
-        F.lit(None).cast(periods.schema[start].dataType).alias(start),
-        F.lit(None).cast(periods.schema[end].dataType).alias(end),
-    )
-    return found.unionByName(undated)
+    swept = running_value(merged, ["__at", "__kind", "__tie"], "max", "__until", "__latest").filter("__kind = 1")
+    apart = swept.filter("__latest is null or __at >= __latest").select(*rows.columns)
+    return apart.unionByName(rows.filter(F.col(ts).isNull()))
 
 
 def clamp_periods(periods: DataFrame, as_of: Column | None = None, start: str = "startdate", end: str = "enddate"):

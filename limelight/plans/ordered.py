@@ -27,6 +27,27 @@ def sliced(df: DataFrame, order: Sequence[str | Column]) -> DataFrame:
     return materialise(df.repartitionByRange(*order).withColumn(SLICE, F.spark_partition_id()), "sliced")
 
 
+def sampled_bounds(df: DataFrame, value: Column, slices: int) -> list[int]:
+    """At most `slices` - 1 whole numbers that cut the rows into slices of like size, in one map-side aggregate.
+
+    A number that occurs more than once in the list holds a whole slice or more by itself.
+    """
+    at = F.array(*[F.lit(k / slices) for k in range(1, slices)])
+    return list(df.agg(F.percentile_approx(value, at, 20 * slices)).first()[0] or []) if slices > 1 else []
+
+
+def slice_of(value: Column, bounds: Sequence[int]) -> Column:
+    """Number of the sorted `bounds` that are not above `value`, by a binary search written out as an expression."""
+
+    def search(low: int, high: int) -> Column:
+        if low == high:
+            return F.lit(low)
+        middle = (low + high) // 2
+        return F.when(value < F.lit(bounds[middle]), search(low, middle)).otherwise(search(middle + 1, high))
+
+    return search(0, len(bounds))
+
+
 def _running(name: str, value: Column) -> Column:
     return {"sum": F.sum, "max": F.max}[name](value)
 

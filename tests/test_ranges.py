@@ -1,4 +1,6 @@
 import random
+import re
+from collections import Counter
 from datetime import datetime, timedelta
 
 import pytest
@@ -220,11 +222,69 @@ def test_keyset_pages_visit_every_row_once(spark):
     assert seen == rows
 
 
-def test_overlapping_periods_are_refused(spark):
+def test_overlapping_periods_give_a_row_per_match(spark):
+    rng = random.Random(4)
+    second = lambda n: datetime(2024, 1, 1) + timedelta(seconds=n)
+    rows = [(i, None if i % 50 == 0 else second(rng.choice([7_000, rng.randrange(20_000)]))) for i in range(400)]
+    periods = [(second(a), second(a + rng.choice([0, 1, 3, 60, 900, 8_000]))) for a in rng.choices(range(20_000), k=60)]
+    periods += [(second(7_000), second(7_001)), (second(7_000), second(7_001)), (None, second(5)), (second(5), None), (second(9), second(2))]
+    df = spark.createDataFrame(rows, "id int, ts timestamp")
+    found = ranges.assign_periods(df, "ts", spark.createDataFrame(periods, "startdate timestamp, enddate timestamp"))
+    got = Counter((r.id, r.startdate, r.enddate) for r in found.collect())
+    expected = Counter()
+    for i, t in rows:
+        inside = [p for p in periods if t and all(p) and p[0] <= t < p[1]]
+        expected.update([(i, *p) for p in inside] or [(i, None, None)])
+    assert got == expected
+
+
+def test_one_length_needs_no_shuffle_of_rows(spark, plan):
     hour = lambda h: datetime(2024, 1, 1, h)
     rows = spark.createDataFrame([(hour(5),)], "ts timestamp")
-    schema = "startdate timestamp, enddate timestamp"
-    with pytest.raises(ValueError, match="overlap"):
-        ranges.assign_periods(rows, "ts", spark.createDataFrame([(hour(0), hour(23)), (hour(3), hour(4))], schema))
-    touching = spark.createDataFrame([(hour(0), hour(3)), (hour(3), hour(6))], schema)
-    assert ranges.assign_periods(rows, "ts", touching).first()["startdate"] == hour(3)
+    touching = spark.createDataFrame([(hour(0), hour(3)), (hour(3), hour(6))], "startdate timestamp, enddate timestamp")
+    found = ranges.assign_periods(rows, "ts", touching)
+    assert found.first()["startdate"] == hour(3)
+    assert "hashpartitioning" not in plan(found) and "NestedLoop" not in plan(found)
+    none = ranges.assign_periods(rows, "ts", touching.limit(0)).collect()
+    assert [tuple(r) for r in none] == [(hour(5), None, None)]
+
+
+def test_periods_are_counted_with_one_exchange_of_rows(spark, plan):
+    events = spark.read.parquet("/root/testdata/sf0.001/events.parquet")
+    periods = events.groupBy("user_id").agg(F.min("ts").alias("startdate"), F.max("ts").alias("enddate"))
+    text = plan(ranges.count_per_period(events, "ts", periods.drop("user_id")))
+    assert len(re.findall(r"Exchange hashpartitioning\(__slice", text)) == 1
+    assert "rangepartitioning" not in text
+
+
+def test_a_crowded_instant_is_counted_before_it_moves(spark, monkeypatch):
+    second = lambda n: datetime(2024, 1, 1) + timedelta(seconds=n)
+    rng = random.Random(3)
+    times = [second(500)] * 700 + [second(rng.randrange(1000)) for _ in range(300)] + [None]
+    periods = [(second(a), second(b)) for a in range(0, 1000, 90) for b in (a, a + 1, 500, 501, 2000)]
+    df = spark.createDataFrame([(t,) for t in times], "ts timestamp").repartition(5)
+    asked = spark.createDataFrame(periods, "startdate timestamp, enddate timestamp")
+    found = ranges.count_per_period(df, "ts", asked).collect()
+    assert {(r.startdate, r.enddate): r.numrepos for r in found} == {
+        (a, b): sum(a <= t < b for t in times if t) for a, b in periods
+    }
+    nothing = ranges.count_per_period(df.limit(0), "ts", asked).collect()
+    assert {r.numrepos for r in nothing} == {0} and len(nothing) == len(set(periods))
+
+
+def test_frontier_is_met_before_grouping(spark, plan):
+    points = spark.range(1000).selectExpr("id AS x", "0L AS lo", "1000L AS width")
+    root = F.struct(F.lit(0).cast("bigint").alias("lo"), F.lit(1000).cast("bigint").alias("width"), F.lit(0).cast("bigint").alias("cell"))
+    frontier = spark.range(1).select(root.alias("root"), F.lit(900).cast("bigint").alias("n"))
+    text = plan(ranges._cell_counts(points, frontier, 3, 9, 20))
+    assert text.index("HashAggregate") < text.rindex("HashAggregate") < text.index("Join")  # children come below
+
+
+def test_depth_has_no_cap_per_pass(spark):
+    # One unit in 2^50 holds nearly all rows: the first pass sees one full cell, the next ones dig it out.
+    values = [1 << 49] * 3_000 + [0, (1 << 50) - 1] + [(1 << 49) + 2]
+    df = spark.createDataFrame([(v,) for v in values], "x bigint")
+    found = ranges.range_breakdown(df, F.col("x"), 1000).collect()
+    crowded = [r for r in found if r.overflow]
+    assert [(r.start, r.end, r.num) for r in crowded] == [(1 << 49, (1 << 49) + 1, 3_000)]
+    assert sum(r.num for r in found) == len(values)
