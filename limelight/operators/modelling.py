@@ -6,84 +6,90 @@ import time
 from collections.abc import Sequence
 from dataclasses import dataclass, field
 
-from pyspark.ml import Estimator, Model, Pipeline, PipelineModel
+from pyspark.ml import Estimator, Model, Pipeline, PipelineModel, Transformer
 from pyspark.ml.evaluation import RegressionEvaluator
-from pyspark.ml.feature import Imputer, StringIndexer, StringIndexerModel, VectorAssembler
+from pyspark.ml.feature import Imputer, VectorAssembler
+from pyspark.ml.param.shared import HasInputCols
 from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
+from pyspark.ml.util import DefaultParamsReadable, DefaultParamsWritable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from limelight.functions.hashing import subset_number
+from limelight.operators.encoding import FOLDS, SMOOTHING, TargetEncoding, encoded_name, learn_means
+from limelight.operators.terms import MEASURES, SIZE, HashedTerms, TextMeasures
 from limelight.sources.scratch import materialise
 
 LABEL, FEATURES = "target", "features"
-MAX_CATEGORIES = 1000
-DEFAULT_BINS = 32
 METRICS = ("rmse", "mae", "r2")
 
 
 @dataclass
 class Preparation:
-    """Fitted encoding of raw columns as one feature vector."""
+    """Fitted encoding of raw columns as one feature vector, and the training rows it was learnt from."""
 
     model: PipelineModel
+    encoding: TargetEncoding | None
     numbers: list[str]
-    indexed: list[str]
-    hashed: list[str]
-
-    @property
-    def most_codes(self) -> int:
-        """Codes of the widest indexed column, the one for unknown values included."""
-        indexers = [stage for stage in self.model.stages if isinstance(stage, StringIndexerModel)]
-        return max((len(labels) + 1 for stage in indexers for labels in stage.labelsArray), default=0)
+    terms: int
+    rows: DataFrame
 
     @property
     def feature_names(self) -> list[str]:
-        return [*self.numbers, *self.indexed, *self.hashed]
+        categories = self.encoding.columns if self.encoding else []
+        return [*self.numbers, *categories, *(f"terms_{i}" for i in range(self.terms))]
 
     def transform(self, df: DataFrame) -> DataFrame:
-        return self.model.transform(_raw_columns(df, self.numbers, self.indexed, self.hashed))
+        """Any rows but those learnt from."""
+        return self._assembled(df, training=False)
 
+    def training_rows(self) -> DataFrame:
+        """The rows learnt from; their categories are encoded without their own targets."""
+        return self._assembled(self.rows, training=True)
 
-def _raw_columns(df: DataFrame, numbers: Sequence[str], indexed: Sequence[str], hashed: Sequence[str]) -> DataFrame:
-    code = lambda c: F.pmod(F.xxhash64(F.col(c).cast("string")), F.lit(MAX_CATEGORIES)).cast("double")
-    columns = {f"{c}__num": F.col(c).try_cast("double") for c in numbers}
-    columns |= {f"{c}__cat": F.col(c).cast("string") for c in indexed}
-    columns |= {f"{c}__hash": code(c) for c in hashed}
-    return df.withColumns(columns)
+    def _assembled(self, df: DataFrame, training: bool) -> DataFrame:
+        encoded = self.encoding.encode(df, training) if self.encoding else df
+        return self.model.transform(_raw_numbers(encoded, self.numbers))
 
 
-def prepare_features(
-    df: DataFrame, numbers: Sequence[str], categories: Sequence[str], max_categories: int = MAX_CATEGORIES
-) -> Preparation:
-    """Learn the encoding: unreadable numbers count as missing and get the mean, unknown categories their own code.
+def _raw_numbers(df: DataFrame, numbers: Sequence[str]) -> DataFrame:
+    return df.withColumns({f"{c}__num": F.col(c).try_cast("double") for c in numbers if c in df.columns})
+
+
+class _Numbers(Transformer, HasInputCols, DefaultParamsReadable, DefaultParamsWritable):
+    """Columns made by earlier stages as doubles, each under its name with `__num`."""
+
+    def __init__(self, columns: Sequence[str] | None = None):
+        super().__init__()
+        self._set(inputCols=list(columns or []))
 
-    A column with more than `max_categories` values is hashed to that many codes instead of
-    being indexed: an index would pass every value through the driver.
+    def _transform(self, dataset: DataFrame) -> DataFrame:
+        return dataset.withColumns({f"{c}__num": F.col(c).cast("double") for c in self.getInputCols()})
+
+
+def prepare_features(
+    df: DataFrame, numbers: Sequence[str], categories: Sequence[str] = (), text: str | None = None,
+    label: str = LABEL, key: str | None = None, folds: int = FOLDS, smoothing: float = SMOOTHING, seed: int = 1,
+    terms: int = SIZE,
+) -> Preparation:
+    """Learn the encoding of training rows.
+
+    Unreadable numbers count as missing and get the mean. Categories, however many there are, become the mean
+    target of their rows (`TargetEncoding`). `text` adds measures of that column and its hashed terms.
     """
-    numbers, indexed, hashed = list(numbers), [], []
-    if categories:
-        sizes = df.agg(*[F.approx_count_distinct(c).alias(c) for c in categories]).first()
-        indexed = [c for c in categories if sizes[c] <= max_categories]
-        hashed = [c for c in categories if sizes[c] > max_categories]
-    stages: list[Estimator] = []
+    stages: list = []
+    measures = MEASURES if text else []
+    if text:
+        stages += [TextMeasures(text), HashedTerms(text, size=terms, seed=seed), _Numbers(measures)]
+    numbers = [*numbers, *measures]
     if numbers:
         stages.append(Imputer(inputCols=[f"{c}__num" for c in numbers], outputCols=[f"{c}__full" for c in numbers]))
-    if indexed:
-        names = [f"{c}__cat" for c in indexed]
-        stages.append(
-            StringIndexer(
-                inputCols=names,
-                outputCols=[f"{c}__idx" for c in indexed],
-                handleInvalid="keep",
-                stringOrderType="frequencyDesc",
-            )
-        )
-    inputs = [f"{c}__full" for c in numbers] + [f"{c}__idx" for c in indexed] + [f"{c}__hash" for c in hashed]
+    inputs = [*(f"{c}__full" for c in numbers), *map(encoded_name, categories), *(["terms"] if text else [])]
     stages.append(VectorAssembler(inputCols=inputs, outputCol=FEATURES, handleInvalid="keep"))
-    model = Pipeline(stages=stages).fit(_raw_columns(df, numbers, indexed, hashed))
-    return Preparation(model, numbers, indexed, hashed)
+    encoding = learn_means(df, categories, label, key, folds, smoothing, seed) if categories else None
+    model = Pipeline(stages=stages).fit(_raw_numbers(df, numbers))
+    return Preparation(model, encoding, numbers, terms if text else 0, df)
 
 
 @dataclass
@@ -93,14 +99,10 @@ class Candidate:
     params: str
 
 
-def candidates(seed: int = 1, label: str = LABEL, codes: int = 0) -> list[Candidate]:
-    """The models to try, quick ones first; `codes` is the size of the widest categorical feature.
-
-    A tree cannot split a category with more values than bins, and every bin costs memory
-    and traffic at each level, so there are no more of them than needed.
-    """
+def candidates(seed: int = 1, label: str = LABEL) -> list[Candidate]:
+    """The models to try, quick ones first."""
     common = {"featuresCol": FEATURES, "labelCol": label}
-    trees = {**common, "seed": seed, "maxBins": max(DEFAULT_BINS, codes)}
+    trees = {**common, "seed": seed}
     grid: list[tuple[str, type, dict, dict]] = [
         ("linear", LinearRegression, common, {"regParam": 0.0}),
         ("forest-20", RandomForestRegressor, trees, {"numTrees": 20, "maxDepth": 5}),

@@ -90,17 +90,20 @@ class ModelSearch:
         categories: Sequence[str] = (),
         label: str = M.LABEL,
         seed: int = 1,
+        text: str | None = None,
+        key: str | None = None,
     ):
         self.spark, self.label, self.seed = train.sparkSession, label, seed
-        self.preparation = M.prepare_features(train, numbers, categories)
+        self.preparation = M.prepare_features(train, numbers, categories, text, label, key, seed=seed)
         # Every candidate reads the training rows several times: encode them once.
-        self.train = materialise(self.preparation.transform(train).select(label, M.FEATURES), "prepared")
+        rows = self.preparation.training_rows()
+        self.train = materialise(rows.select(label, M.FEATURES), "prepared")
         self.test = self.preparation.transform(test)
         self.ranked: list[M.Trained] = []
 
     def train_models(self, max_runtime: float | None = None, max_models: int = 0) -> DataFrame:
         """Train and rank; returns the test set with the predictions of the best model."""
-        options = M.candidates(self.seed, self.label, self.preparation.most_codes)
+        options = M.candidates(self.seed, self.label)
         fitted = M.train_candidates(self.train, options, max_runtime, max_models)
         self.ranked = M.rank(fitted, self.test, self.label)
         return self.score(self.test)

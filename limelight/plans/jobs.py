@@ -66,7 +66,8 @@ def model(
     seed: int = 1,
 ) -> ModelSearch:
     """Train and rank; predictions, leaderboard and importance are written below `out`."""
-    search = ModelSearch(read_dataset(spark, train), read_dataset(spark, test), NUMBERS, CATEGORIES, seed=seed)
+    parts = read_dataset(spark, train), read_dataset(spark, test)
+    search = ModelSearch(*parts, NUMBERS, CATEGORIES, seed=seed, text="readme", key="name")
     results = search.train_models(max_runtime, max_models)
     results.select("name", "target", "prediction").write.mode("overwrite").parquet(f"{out}/predictions")
     search.get_leaderboard().write.mode("overwrite").parquet(f"{out}/leaderboard")

@@ -1,9 +1,15 @@
 import math
+import random
 
 import pytest
+from pyspark.ml import Pipeline, PipelineModel
+from pyspark.ml.linalg import SparseVector
 from pyspark.sql import functions as F
 
+from limelight.operators import encoding
 from limelight.operators import modelling as M
+from limelight.operators.terms import MEASURES, HashedTerms, TextMeasures
+from limelight.plans import skew
 from limelight.plans.dataset import ModelSearch
 
 
@@ -21,10 +27,56 @@ def parts(spark):
     return rows.filter("id < 450"), rows.filter("id >= 450")
 
 
+def brute_means(rows, column, label, folds, smoothing=20.0):
+    """(mean for new rows by category, mean by (category, fold) without that fold, overall mean); rows are dicts with a fold."""
+    taught = [r for r in rows if r[label] is not None]
+    prior = sum(r[label] for r in taught) / len(taught)
+    mean = lambda part, overall: (sum(r[label] for r in part) + smoothing * overall) / (len(part) + smoothing)
+    whole, apart = {}, {}
+    for value in {r[column] for r in taught}:
+        mine = [r for r in taught if r[column] == value]
+        whole[value] = mean(mine, prior)
+        for fold in range(folds):
+            rest = [r for r in taught if r["fold"] != fold]
+            overall = sum(r[label] for r in rest) / len(rest) if rest else prior
+            apart[value, fold] = mean([r for r in mine if r["fold"] != fold], overall)
+    return whole, apart, prior
+
+
+@pytest.mark.parametrize("broadcast_rows", [1_000_000, 0])
+def test_target_encoding(spark, tmp_path, monkeypatch, broadcast_rows):
+    monkeypatch.setattr(skew, "BROADCAST_ROWS", broadcast_rows)
+    rng = random.Random(1)
+    values = ["hot"] * 150 + [None] * 20 + ["-", "", "="] + [f"v{rng.randrange(60)}" for _ in range(130)]
+    rows = [(i, v, None if i % 37 == 0 else float(rng.randrange(100))) for i, v in enumerate(values)]
+    df = spark.createDataFrame(rows, "id int, c string, target double")
+    found = encoding.learn_means(df, ["c"], "target", "id")
+    tagged = [r.asDict() for r in df.withColumn("fold", encoding.row_fold(df, "id", 5, 1)).collect()]
+    whole, apart, prior = brute_means(tagged, "c", "target", 5)
+    assert found.prior == pytest.approx(prior)
+    trained = {r.id: r["c__mean"] for r in found.encode(df, training=True).collect()}
+    for r in tagged:
+        if r["target"] is not None:
+            assert trained[r["id"]] == pytest.approx(apart[r["c"], r["fold"]])
+    new = spark.createDataFrame([(1, "hot"), (2, None), (3, "never seen"), (4, "-"), (5, "")], "id int, c string")
+    expected = [whole["hot"], whole[None], prior, whole["-"], whole[""]]
+    found.save(str(tmp_path / "means"))
+    for model in (found, encoding.TargetEncoding.load(spark, str(tmp_path / "means"))):
+        assert [r["c__mean"] for r in model.encode(new).orderBy("id").collect()] == pytest.approx(expected)
+    with pytest.raises(ValueError, match="folds"):
+        model.encode(df, training=True)
+
+
+def test_encoding_of_nothing(spark):
+    none = spark.createDataFrame([(1, "a", None)], "id int, c string, target double")
+    found = encoding.learn_means(none, ["c"], "target", "id")
+    assert [r["c__mean"] for r in found.encode(none).collect()] == [0.0]
+    assert encoding.learn_means(none.limit(0), ["c"], "target", "id").encode(none).first()["c__mean"] == 0.0
+
+
 def test_preparation(spark, parts):
     train, _ = parts
-    prep = M.prepare_features(train, ["a", "b"], ["c", "many"], max_categories=50)
-    assert (prep.indexed, prep.hashed) == (["c"], ["many"])
+    prep = M.prepare_features(train, ["a", "b"], ["c", "many"], key="many")
     assert prep.feature_names == ["a", "b", "c", "many"]
     strange = spark.createDataFrame(
         [("broken", 1, "new", "k"), (None, None, None, None), ("3", 2, "x", "key1")],
@@ -32,18 +84,43 @@ def test_preparation(spark, parts):
     )
     vectors = [r.features.toArray() for r in prep.transform(strange).collect()]
     mean_a = train.agg(F.avg(F.col("a").cast("double"))).first()[0]
+    mean_y = train.agg(F.avg("target")).first()[0]
     assert math.isclose(vectors[0][0], mean_a) and math.isclose(vectors[1][0], mean_a)
-    assert vectors[0][2] == vectors[1][2] == 3.0  # unknown and missing categories share one code
-    assert vectors[2][0] == 3.0 and 0 <= vectors[2][3] < M.MAX_CATEGORIES
+    assert [vectors[0][2], vectors[1][2]] == pytest.approx([mean_y, mean_y])  # never seen, and never missing in training
+    assert vectors[2][0] == 3.0 and vectors[2][2] != vectors[0][2]
     assert not any(math.isnan(x) for v in vectors for x in v)
+    # A category of its own for every row tells a training row nothing of its target.
+    single = [r.features[3] for r in prep.training_rows().collect()]
+    assert len({round(v, 9) for v in single}) <= 5  # one mean for each fold
 
 
-def test_many_categories_need_as_many_bins(spark):
-    rows = spark.range(400).select((F.col("id") % 90).cast("string").alias("c"), (F.col("id") % 90 * 1.0).alias("target"))
-    search = ModelSearch(rows, rows, numbers=[], categories=["c"])
-    assert search.preparation.most_codes == 91
+def test_thousands_of_categories(spark):
+    category = F.col("id") % 2000
+    rows = spark.range(40_000).select("id", category.cast("string").alias("c"), (category * 1.0).alias("target"))
+    search = ModelSearch(rows, rows, numbers=[], categories=["c"], key="id")
+    search.train_models(max_models=2)
+    assert search.get_leaderboard().first()["r2"] > 0.9
+
+
+def test_text_in_the_model(spark, tmp_path):
+    topics = ["rust async runtime", "python notebook plot"]
+    texts = [(i, f"# {'Big' if i % 2 else 'small'} Title\n{topics[i % 2]} w{i % 7} 😀", float(i % 2)) for i in range(120)]
+    texts += [(200, None, 0.5), (201, "", 0.5)]
+    df = spark.createDataFrame(texts, "id int, readme string, target double")
+    model = Pipeline(stages=[TextMeasures("readme"), HashedTerms("readme", size=64)]).fit(df)
+    model.write().overwrite().save(str(tmp_path / "text"))
+    loaded = PipelineModel.load(str(tmp_path / "text"))
+    assert loaded.stages[1].document_frequency == model.stages[1].document_frequency
+    assert loaded.transform(df).collect() == model.transform(df).collect()
+    rows = {r.id: r for r in loaded.transform(df).collect()}
+    assert [tuple(rows[i][m] for m in MEASURES) for i in (0, 1, 200, 201)] == [(1, 8, 1, 0), (1, 8, 1, 1), (0, 0, 0, 0), (0, 0, 0, 0)]
+    assert isinstance(rows[0].terms, SparseVector) and rows[200].terms.numNonzeros() == 0
+    search = ModelSearch(df, df, numbers=[], text="readme", key="id")
     search.train_models(max_models=2)
-    assert search.ranked[0].model_id == "forest-20"
+    assert len(search.preparation.feature_names) == 4 + 256
+    assert search.get_leaderboard().first()["r2"] > 0.8
+    best = search.best_model_importance().first()
+    assert best.feature == "title_case" or best.feature.startswith("terms_")
 
 
 def test_search(spark, parts):
