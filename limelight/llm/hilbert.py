@@ -13,37 +13,53 @@ from operator import add
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from limelight.plans.ordered import POSITION_BITS
+from limelight.plans.ordered import POSITION_BITS, running_value
+from limelight.plans.skew import lookup_join
 from limelight.sources.scratch import materialise
 
 BITS = 5
 SHARDS = 16
 ACCURACY = 10_000
-PREFIX_BYTES = 7  # of a text dimension: their value as one number keeps the order
 
 
-def as_number(df: DataFrame, name: str) -> Column:
-    """A number in the order of the column; texts by their first bytes."""
-    if df.schema[name].dataType.typeName() in ("string", "binary"):
-        padded = F.rpad(F.hex(F.substring(F.col(name).cast("binary"), 1, PREFIX_BYTES)), 2 * PREFIX_BYTES, "0")
-        return F.conv(padded, 16, 10).cast("double")
-    return F.col(name).cast("double")
+def value_cells(df: DataFrame, name: str, bits: int, out: str) -> DataFrame:
+    """`df` with the cell of a text column: values in order, each where the rows before it end.
+
+    Whole values are ranked, so values with a long common beginning fall into different cells. A null has no cell.
+    """
+    counts = df.filter(F.col(name).isNotNull()).groupBy(F.col(name).alias("__value")).agg(F.count("*").alias("__rows"))
+    counts = materialise(counts, "values")
+    total = counts.agg(F.sum("__rows")).first()[0] or 1
+    upto = running_value(counts, ["__value"], "sum", "__rows", "__upto")
+    cell = F.expr(f"CAST((__upto - __rows) * {1 << bits}L DIV {total} AS INT)")
+    cells = materialise(upto.select("__value", cell.alias(out)), "value-cells")
+    found = lookup_join(df.withColumn("__value", F.col(name)), cells, "__value", lambda: counts, "__rows", "left")
+    return found.drop("__value")
 
 
-def quantised(df: DataFrame, dimensions: list[str], bits: int) -> dict[str, Column]:
-    """Cell 0 to 2^bits - 1 of every dimension: the number of quantiles below the value; nulls are in cell 0.
+def quantised(df: DataFrame, dimensions: list[str], bits: int) -> tuple[DataFrame, dict[str, Column]]:
+    """`df` and the cell 0 to 2^bits - 1 of every dimension; nulls are in cell 0.
 
-    A dimension without any value has no cells and does not count.
+    Numbers: how many quantiles lie below; texts: `value_cells`, a column of `df`. A dimension without any value has
+    no cells and does not count.
     """
     steps = [i / (1 << bits) for i in range(1, 1 << bits)]
-    numbers = {name: as_number(df, name) for name in dimensions}
+    texts = [name for name in dimensions if df.schema[name].dataType.typeName() in ("string", "binary")]
+    numbers = {name: F.col(name).cast("double") for name in dimensions if name not in texts}
     asked = [F.percentile_approx(c, steps, ACCURACY).alias(f"q{i}") for i, c in enumerate(numbers.values())]
+    asked += [F.count(name).alias(f"n{i}") for i, name in enumerate(texts)]
     found = df.select(*asked).first()  # 2^bits - 1 numbers a dimension
-    cells = {}
-    for (name, c), cuts in zip(numbers.items(), found):
-        if cuts:
-            cells[name] = reduce(add, [F.when(c > cut, 1).otherwise(0) for cut in sorted(set(cuts))])
-    return cells
+    cuts = dict(zip([*numbers, *texts], found))
+    cells: dict[str, Column] = {}
+    for name in dimensions:
+        if not cuts[name]:
+            continue
+        if name in texts:
+            df = value_cells(df, name, bits, f"__cell_{name}")
+            cells[name] = F.coalesce(f"__cell_{name}", F.lit(0))
+        else:
+            cells[name] = reduce(add, [F.when(numbers[name] > cut, 1).otherwise(0) for cut in sorted(set(cuts[name]))])
+    return df, cells
 
 
 def hilbert_index(df: DataFrame, cells: dict[str, Column], bits: int, out: str) -> DataFrame:
@@ -114,8 +130,10 @@ def hilbert_shards(
     and come first; an empty table gives an empty table. Columns named curve, shard or slot are replaced.
     """
     df = df.drop("curve", "shard", "slot")
-    cells = quantised(df, dimensions, bits)
-    rows, n = numbered(hilbert_index(df, cells, bits, "curve"), ["curve", *ties], "__place")
+    columns = df.columns
+    df, cells = quantised(df, dimensions, bits)
+    placed = hilbert_index(df, cells, bits, "curve").select(*columns, "curve")
+    rows, n = numbered(placed, ["curve", *ties], "__place")
     shard = F.expr(f"CAST(__place * {shards} DIV {max(n, 1)} AS INT)")
     first = F.expr(f"(CAST(shard AS BIGINT) * {n} + {shards - 1}) DIV {shards}")
     return rows.withColumn("shard", shard).withColumn("slot", F.col("__place") - first).drop("__place")
@@ -130,18 +148,26 @@ def write_shards(df: DataFrame, path: str) -> None:
 def shard_documents(docs: DataFrame, shards: int = SHARDS, bits: int = BITS) -> DataFrame:
     """doc_id, size, text_crc32, law, shard, slot, grown_shard of every row of `docs`.
 
-    Dimensions are language, source and length; ties go by text checksum, then id, so copies stay together. A null
-    text has size 1 and checksum 0.
+    Dimensions are language, source and length. Rows with equal texts are a group: all take the place on the curve of
+    the one with the smallest id (a null id is smaller than any) and lie side by side there, so a group is in one
+    shard unless a cut between two shards falls into it. A null text has size 1 and checksum 0.
     """
     text = F.coalesce(F.col("text"), F.lit(""))
     narrow = docs.select(
         F.col("doc_id").cast("bigint").alias("doc_id"),
         (F.octet_length(text) + 1).cast("bigint").alias("size"),
         F.crc32(text.cast("binary")).alias("text_crc32"),
+        F.xxhash64(F.col("text").isNull(), text).alias("text_hash"),
         F.col("lang").cast("string").alias("lang"),
         F.col("source").cast("string").alias("source"),
     )
-    dealt = hilbert_shards(narrow, ["lang", "source", "size"], ["text_crc32", "doc_id"], shards, bits)
+    narrow = materialise(narrow.withColumn("group", F.struct("text_hash", "text_crc32", "size")), "narrow")
+    groups = narrow.groupBy("group").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "lang", "source")).alias("lead"))
+    groups = materialise(groups.filter("n > 1"), "groups")
+    led = lookup_join(narrow, groups.select("group", "lead"), "group", lambda: groups, "n", "left")
+    place = {c: F.when(F.col("lead").isNull(), F.col(c)).otherwise(F.col("lead")[c]) for c in ("lang", "source")}
+    led = materialise(led.withColumns(place).drop("lead", "group"), "led")
+    dealt = hilbert_shards(led, ["lang", "source", "size"], ["text_crc32", "text_hash", "doc_id"], shards, bits)
     return dealt.select(
         "doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot",
         F.lit(None).cast("int").alias("grown_shard"), "curve",
