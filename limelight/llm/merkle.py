@@ -167,26 +167,39 @@ def edited(text: str, following: str) -> str:
 
 
 def _neighbours(docs: DataFrame) -> DataFrame:
-    """(bucket, turn, key, doc_id, text): in the order of bucket, turn, key, text every document is followed by its next.
+    """(bucket, part, turn, key, doc_id, text): before the documents of a key comes the text that follows them.
 
-    Buckets are ranges of ids, cut at quantiles. The first documents of a bucket come once more at the end of the
-    one before it (turn 1), those of the first bucket at the end of the last one. One shuffle of the texts.
+    Buckets are ranges of ids, cut at quantiles and read from the largest key down; each begins with the smallest text of
+    the first key of the bucket above it (turn 0; the last bucket with that of the first one). A key that holds
+    several quantiles has a bucket of its own, dealt in as many parts by the text. One shuffle of the texts.
     """
     source = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    key = F.coalesce("doc_id", F.lit(-(1 << 63)))
+    source = source.withColumn("key", F.coalesce("doc_id", F.lit(-(1 << 63))))
     buckets = 2 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    asked = F.percentile_approx(key, [i / buckets for i in range(1, buckets)], 10_000)
-    cuts = sorted(set(source.select(asked.alias("q")).first()["q"] or ()))
-    ids = source.select(key.alias("key"))
-
-    bucket = F.udf(lambda value: bisect_right(cuts, value), "int", useArrow=True)
-    starts = ids.groupBy(bucket("key").alias("bucket")).agg(F.min("key").alias("first")).orderBy("bucket").collect()
-    before = {row["first"]: [starts[i - 1]["bucket"]] for i, row in enumerate(starts)}
-    # The bucket of a key; for the first key of a bucket also the bucket before it.
-    places = F.udf(lambda value: [bisect_right(cuts, value), *before.get(value, ())], "array<int>", useArrow=True)
-    dealt = source.withColumn("key", key).select("key", "doc_id", "text", F.posexplode(places("key")).alias("turn", "bucket"))
+    asked = F.percentile_approx("key", [i / buckets for i in range(1, buckets)], 10_000)
+    quantiles = Counter(source.select(asked.alias("q")).first()["q"] or ())
+    parts = {key: n for key, n in quantiles.items() if n > 1}
+    cuts = sorted({*quantiles, *(key + 1 for key in parts)})
+
+    bucket = F.udf(lambda key: bisect_right(cuts, key), "int", useArrow=True)
+    keys = source.select("key", bucket("key").alias("bucket"))
+    starts = keys.groupBy("bucket").agg(F.min("key").alias("first")).orderBy("bucket").collect()  # a row per bucket
+    firsts = [r["first"] for r in starts]
+    above = [
+        (r["bucket"], part, after)
+        for r, after in zip(starts, [*firsts[1:], *firsts[:1]])
+        for part in range(parts.get(r["first"], 1))
+    ]
+    least = source.filter(F.col("key").isin(firsts)).groupBy("key").agg(F.min(F.coalesce("text", F.lit(""))).alias("text"))
+    ahead = docs.sparkSession.createDataFrame(above, "bucket int, part int, key bigint").join(least, "key")
+    ahead = ahead.select("bucket", "part", F.lit(0).alias("turn"), "key", F.lit(None).cast("bigint").alias("doc_id"), "text")
+    part_of = F.lit(0)
+    for key, n in parts.items():
+        part_of = F.when(F.col("key") == key, F.pmod(F.xxhash64("text"), F.lit(n)).cast("int")).otherwise(part_of)
+    own = source.select(bucket("key").alias("bucket"), part_of.alias("part"), F.lit(1).alias("turn"), "key", "doc_id", "text")
     count = max(buckets // 2, 1)
-    return dealt.repartition(count, "bucket").sortWithinPartitions("bucket", "turn", "key", "text")
+    dealt = own.unionByName(ahead).repartition(count, "bucket", "part")
+    return dealt.sortWithinPartitions("bucket", "part", "turn", F.desc("key"), F.coalesce("text", F.lit("")))
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
@@ -199,29 +212,26 @@ def fingerprints(docs: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out = Batches(OUT, 2_000)
-        bucket = key = None
-        turn, held, last = 0, [], ("", fingerprint(""))
-
-        def finish(following: str) -> None:
-            nonlocal last
-            near = fingerprint(following)
-            for doc_id, text in held:
+        place, following, near, ahead, last = None, "", "", "", ("", fingerprint(""))
+        names = ("bucket", "part", "turn", "key", "doc_id", "text")
+        for batch in batches:
+            for bucket, part, turn, key, doc_id, text in zip(*(values(batch, c) for c in names)):
+                text = text or ""
+                if turn == 0:
+                    ahead = text
+                    continue
                 mine = last[1] if text == last[0] else fingerprint(text)
+                if (bucket, part, key) != place:
+                    # Rows come from the largest key down: what was first of the last key follows this one.
+                    place, following, ahead = (bucket, part, key), ahead, text
+                    near = last[1] if following == last[0] else fingerprint(following)
+                last = text, mine
                 changed = edited(text, following)
                 other = mine if changed == text else fingerprint(changed)
                 digest = hashlib.sha256(changed.encode()).hexdigest()
                 out.add(doc_id, len(text), digest, mine, other, likeness(mine, other), likeness(mine, near))
-            held.clear()
-            last = following, near
-
-        for batch in batches:
-            for b, t, k, doc_id, text in zip(*(values(batch, c) for c in ("bucket", "turn", "key", "doc_id", "text"))):
-                if (b, t, k) != (bucket, turn, key):
-                    finish(text or "")
-                    bucket, turn, key = b, t, k
-                if t == 0:
-                    held.append((doc_id, text or ""))
                 yield from out.full()
         yield from out.rest()
 
-    return _neighbours(docs).select("bucket", "turn", "key", "doc_id", "text").mapInArrow(run, ddl(OUT))
+    columns = ["bucket", "part", "turn", "key", "doc_id", "text"]
+    return _neighbours(docs).select(*columns).mapInArrow(run, ddl(OUT))
