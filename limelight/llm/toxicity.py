@@ -165,7 +165,7 @@ def train(
 ) -> Model:
     """Model of `label` (0 or 1) from at most `most` labelled rows; null labels and ids teach nothing.
 
-    An id with several label rows counts once, with its largest label. Rows come in order of a hash of their id.
+    An id with several label rows counts once, with its largest label, and one with several texts with the smallest. Rows come in order of a hash of their id.
     """
     marks = labels.select(F.col("doc_id").alias("doc_id"), F.col(label).cast("int").alias("y"))
     marks = marks.filter("doc_id IS NOT NULL AND y IN (0, 1)").groupBy("doc_id").agg(F.max("y").alias("y"))
@@ -174,6 +174,8 @@ def train(
     chosen = marks.join(known, "doc_id", "left_semi").orderBy(order, "doc_id").limit(most)
     texts = docs.select("doc_id", F.col("text").cast("string").alias("text"))
     picked = texts.join(F.broadcast(chosen), "doc_id")  # at most `most` short rows
+    # One text for an id, however many rows it has: no more than `most` are collected.
+    picked = picked.groupBy("doc_id", "y").agg(F.min("text").alias("text"))
     found = _features(picked.select("y", "text"), swaps(terms)).toArrow()
     x, twins = _arrays(found["x"]), _arrays(found["twin"])
     return fit(found["y"].to_numpy().astype(float), x, twins, penalty)
