@@ -27,6 +27,7 @@ from limelight.llm.common import ddl, record_batch, values
 from limelight.plans.skew import lookup_join
 from limelight.sources.scratch import materialise, scratch_path
 
+READ_BYTES = 8 << 20  # of an archive that one task reads back at least
 REVISIT_BYTES = 100
 RECORDS_PER_ARCHIVE = 5_000
 PIECE = 1 << 20
@@ -221,7 +222,11 @@ def read_archives(index: DataFrame) -> DataFrame:
                     column.append(value)
             yield record_batch(RECORDS, rows)
 
-    ordered = index.repartition("archive").sortWithinPartitions("archive", "offset")
+    # The index is tiny whatever it points at: the bytes of the archives decide how many tasks read them.
+    size = index.agg(F.sum("length")).first()[0] or 0
+    tasks = max(index.sparkSession.sparkContext.defaultParallelism, -(-size // READ_BYTES))
+    stretch = F.expr(f"offset DIV {READ_BYTES}")
+    ordered = index.repartition(tasks, "archive", stretch).sortWithinPartitions("archive", "offset")
     return ordered.mapInArrow(run, ddl(RECORDS))
 
 
