@@ -64,6 +64,28 @@ def test_files_prune_every_dimension(spark, tmp_path):
 # Licences ------------------------------------------------------------------------------------
 
 
+def test_copies_lie_side_by_side(spark):
+    texts = [prose(i % 12, 40) for i in range(120)] + [None] * 5 + [""] * 5
+    rows = [(i, t, "abc"[i % 3], f"https://host/{i % 5}", 1) for i, t in enumerate(texts)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    found = sorted(hilbert.shard_documents(docs, 7).collect(), key=lambda r: (r["shard"], r["slot"]))
+    order = [texts[r["doc_id"]] for r in found]
+    runs = [a for a, b in zip(order, [object(), *order]) if a != b]
+    assert len(runs) == len(set(texts))  # every group in one piece
+    split = sum(len({r["shard"] for r in found if texts[r["doc_id"]] == t}) > 1 for t in set(texts))
+    assert split <= 6  # a cut between shards splits one group at most
+
+
+def test_long_common_beginnings_fall_apart(spark):
+    values = [None] * 4 + [f"https://a.very.long/common/beginning/{i:03d}" for i in range(64) for _ in range(3)]
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(values)], "id int, v string")
+    placed, cells = hilbert.quantised(df, ["v"], 5)
+    got = {r["v"]: r["cell"] for r in placed.select("v", cells["v"].alias("cell")).collect()}
+    assert got[None] == 0 and len(set(got.values())) == 32
+    kept = [got[v] for v in sorted(v for v in got if v)]
+    assert kept == sorted(kept)
+
+
 def test_licences(spark):
     words = TEMPLATES["mit"].split()
     words[40] = "changed"
@@ -100,8 +122,27 @@ def test_next_document_and_likeness(spark):
             assert found[i]["near_edited"] > 0.5 > found[i]["near_next"]
 
 
-@given(st.text(alphabet="ab#\n .", max_size=60), st.text(alphabet="ab#\n .", max_size=60))
+def test_a_third_of_all_rows_with_one_id(spark):
+    rows = [(7, prose(i, 3)) for i in range(400)] + [(None, prose(i, 4)) for i in range(300)]
+    rows += [(i, prose(1_000 + i, 5)) for i in range(8, 300)] + [(500, None), (501, ""), (501, "z")]
+    docs = documents(spark, rows)
+    keyed = [((-1 if i is None else i), i, t or "") for i, t in rows]
+    first = {}
+    for k, _, t in keyed:
+        first[k] = min(t, first.get(k, t))
+    order = sorted(first)
+    following = {k: first[n] for k, n in zip(order, [*order[1:], order[0]])}
+    expected = Counter((i, hashlib.sha256(merkle.edited(t, following[k]).encode()).hexdigest()) for k, i, t in keyed)
+    got = merkle.fingerprints(docs).collect()
+    assert Counter((r["doc_id"], r["edited_sha256"]) for r in got) == expected
+    by = {t: r["near_next"] for r in got for t in [r["fingerprint"]]}
+    assert all(0 <= v <= 1 for v in by.values())
+    parts = merkle._neighbours(docs).filter("turn = 1").groupBy("bucket", "part").count().collect()
+    assert max(r["count"] for r in parts) < 300  # of 400 rows with one id
+
+
 @settings(max_examples=300, deadline=None)
+@given(st.text(alphabet="ab#\n .", max_size=60), st.text(alphabet="ab#\n .", max_size=60))
 def test_roots_test_equality(a, b):
     assert "".join(line for s in merkle.sections(a) for line in s) == a
     assert (merkle.fingerprint(a)[:32] == merkle.fingerprint(b)[:32]) == (a == b)
@@ -326,6 +367,16 @@ def test_classifier_on_held_out_rows(spark):
     assert np.mean([r["predicted"] == truth[r["doc_id"]] for r in held]) > 0.95
 
 
+def test_one_text_for_a_labelled_id(spark, monkeypatch):
+    rows = [(i, prose(i, 30)) for i in range(40)] + [(3, prose(3 + k, 20)) for k in range(200)]
+    marks = spark.createDataFrame([(i, i % 2) for i in range(40)], "doc_id bigint, toxic int")
+    seen = []
+    fit = toxicity.fit
+    monkeypatch.setattr(toxicity, "fit", lambda y, *rest: (seen.append(len(y)), fit(y, *rest))[1])
+    toxicity.train(documents(spark, rows), marks)
+    assert seen == [40]
+
+
 def test_twins_pull_group_mentions_together():
     rng, swap = random.Random(2), toxicity.swaps()
     texts, y = [], []
@@ -376,6 +427,18 @@ def test_cut_stream_is_an_error():
         list(warc.split_stream(iter([data])))
 
 
+def test_archives_are_read_in_many_tasks(spark, tmp_path, monkeypatch):
+    rows = [(i, f"http://h/{i}", prose(i, 200)) for i in range(60)]
+    pages = spark.createDataFrame(rows, "page_id bigint, url string, html string").coalesce(1)
+    warc.write_archives(pages, str(tmp_path / "whole"))
+    index = warc.normalise(spark, str(tmp_path / "whole"), str(tmp_path / "single"))
+    monkeypatch.setattr(warc, "READ_BYTES", 1 << 12)
+    assert index.select("archive").distinct().count() == 1
+    read = warc.read_archives(index)
+    used = read.select("page_id", F.spark_partition_id().alias("task")).collect()
+    assert len({r["task"] for r in used}) > 4 and sorted(r["page_id"] for r in used) == list(range(60))
+
+
 # Suffix-array dedup --------------------------------------------------------------------------
 
 
