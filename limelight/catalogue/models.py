@@ -139,7 +139,7 @@ def stacked_score(spark, sf_dir):
     train, test = _parts(spark, sf_dir)
     preparation = M.prepare_features(train, NUMBERS, CATEGORIES, key="name")
     rows = materialise(preparation.training_rows().select("name", "target", M.FEATURES), "prepared")
-    model = M.stack(rows, "name", M.candidates())
+    model = M.stacked(M.candidates(), "name").estimator.fit(rows)
     return model.transform(preparation.transform(test)).select("name", "target", "prediction")
 
 
@@ -174,3 +174,44 @@ def leaderboard_linear(spark, sf_dir):
     board = M.leaderboard(spark, M.rank(*_linear(spark, sf_dir)))
     digits = {"rmse": 4, "mae": 4, "r2": 6}
     return board.drop("params").withColumns({c: F.round(c, d) for c, d in digits.items()})
+
+
+STACK_FOLD = "('0x' || substring(sha256('fold:1:' || o_orderkey), 1, 8))::BIGINT % 3"
+
+
+@query(
+    f"""WITH t AS (SELECT o_orderkey, price, q, {STACK_FOLD} AS fold FROM {QUANTITIES_SQL}),
+    f AS (SELECT a.fold, regr_slope(t.price, t.q) AS slope, regr_intercept(t.price, t.q) AS intercept
+          FROM (SELECT DISTINCT fold FROM t) a JOIN t ON t.fold <> a.fold GROUP BY a.fold),
+    b AS (SELECT regr_slope(price, f.slope * q + f.intercept) AS slope, regr_intercept(price, f.slope * q + f.intercept)
+          AS intercept FROM t JOIN f USING (fold))
+    SELECT o_orderkey, round(b.slope * (l.slope * q + l.intercept) + b.intercept, 1) AS prediction FROM t, b, {LINE_SQL} l"""
+)
+def stacked_linear(spark, sf_dir):
+    """Two equal lines stacked: each order's fold is predicted by the lines of the others, the blend is a line over those."""
+    _, rows = _linear(spark, sf_dir)
+    line = M.candidates()[0]
+    model = M.stacked([line, line], "o_orderkey").estimator.fit(rows)
+    path = scratch_path(spark, "stack")
+    model.save(path)
+    return M.StackedModel.load(path).transform(rows).select("o_orderkey", F.round("prediction", 1).alias("prediction"))
+
+
+@query(
+    """SELECT count(*) AS models, true AS falling, true AS best_scores, true AS stacked_is_in FROM range(4)"""
+)
+def leaderboard_rules(spark, sf_dir):
+    """What any leaderboard must keep: ranks without gaps, no better model below a worse one, the stack among them."""
+    search = ModelSearch(*_parts(spark, sf_dir), NUMBERS, CATEGORIES, key="name")
+    scored = search.train_models(max_models=3, stack=2)
+    board = materialise(search.get_leaderboard(), "board")
+    following = board.select((F.col("rank") - 1).alias("rank"), F.col("rmse").alias("next"))
+    falling = board.join(following, "rank", "left").agg(
+        F.count("*").alias("models"), F.min(F.coalesce(F.col("next") >= F.col("rmse"), F.lit(True))).alias("falling"),
+        F.max(F.col("model_id") == "stacked").alias("stacked_is_in"), F.min("rmse").alias("rmse"),
+    )
+    error = F.col("target") - F.col("prediction")
+    measured = scored.agg(F.sqrt(F.avg(error * error)).alias("measured"))
+    near = F.abs(F.col("measured") - F.col("rmse")) <= 1e-9 * F.col("rmse")
+    both = falling.join(F.broadcast(measured), F.col("models") >= 0)
+    return both.select("models", "falling", near.alias("best_scores"), "stacked_is_in")

@@ -3,18 +3,31 @@
 from __future__ import annotations
 
 import time
+import uuid
 from collections.abc import Sequence
+from concurrent.futures import ThreadPoolExecutor, wait
 from dataclasses import dataclass, field
 
 from pyspark.ml import Estimator, Model, Pipeline, PipelineModel, Transformer
 from pyspark.ml.evaluation import RegressionEvaluator
 from pyspark.ml.feature import Imputer, VectorAssembler
-from pyspark.ml.param.shared import HasInputCols
+from pyspark.ml.param import Param, Params, TypeConverters
+from pyspark.ml.param.shared import HasFeaturesCol, HasInputCols, HasLabelCol, HasPredictionCol
 from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
-from pyspark.ml.util import DefaultParamsReadable, DefaultParamsWritable
+from pyspark.ml.util import (
+    DefaultParamsReadable,
+    DefaultParamsReader,
+    DefaultParamsWritable,
+    DefaultParamsWriter,
+    MLReadable,
+    MLReader,
+    MLWritable,
+    MLWriter,
+)
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.util import inheritable_thread_target
 
 from limelight.functions.hashing import subset_number
 from limelight.operators.encoding import FOLDS, SMOOTHING, TargetEncoding, encoded_name, learn_means
@@ -23,6 +36,7 @@ from limelight.sources.scratch import materialise
 
 LABEL, FEATURES = "target", "features"
 METRICS = ("rmse", "mae", "r2")
+PARALLEL_FITS = 3
 
 
 @dataclass
@@ -128,14 +142,44 @@ def train_candidates(
     options: Sequence[Candidate],
     max_runtime: float | None = None,
     max_models: int = 0,
+    parallel: int = PARALLEL_FITS,
 ) -> list[Trained]:
-    """Fit the candidates in turn; no limit for `None` and 0. The first is always fitted."""
-    started, fitted = time.monotonic(), []
-    for option in options[: max_models or None]:
-        if fitted and max_runtime is not None and time.monotonic() - started >= max_runtime:
-            break
-        fitted.append(Trained(option.model_id, option.params, option.estimator.fit(train)))
-    return fitted
+    """Fit the candidates, `parallel` at a time; no limit for `None` and 0. Results come in the order of the options.
+
+    Every fit runs under a job tag of its own. At the time limit the jobs of unfinished fits are cancelled and no other
+    is begun; only if nothing has been fitted by then does the first option go on, so there is always a model.
+    """
+    spark, run = train.sparkSession, uuid.uuid4().hex
+    context, options = spark.sparkContext, list(options[: max_models or None])
+    deadline = None if max_runtime is None else time.monotonic() + max_runtime
+    cancelled: set[int] = set()
+
+    def fit(i: int) -> Trained | None:
+        if i in cancelled:
+            return None
+        context.addJobTag(f"fit-{run}-{i}")
+        try:
+            return Trained(options[i].model_id, options[i].params, options[i].estimator.fit(train))
+        except Exception:
+            if i in cancelled:
+                return None
+            raise
+        finally:
+            context.removeJobTag(f"fit-{run}-{i}")
+
+    with ThreadPoolExecutor(max(1, parallel)) as pool:
+        # Each thread gets its own copy of the caller's job properties.
+        fits = [pool.submit(inheritable_thread_target(spark)(fit), i) for i in range(len(options))]
+        if deadline is not None:
+            wait(fits, timeout=max(0.0, deadline - time.monotonic()))
+            fitted = any(f.done() and not f.exception() for f in fits)
+            cancelled.update(i for i, f in enumerate(fits) if not f.done() and (i or fitted))
+            while not all(fits[i].done() for i in cancelled):
+                # A fit starts one job after the other: those that begin meanwhile are cancelled, too.
+                for i in cancelled:
+                    context.cancelJobsWithTag(f"fit-{run}-{i}")
+                wait([fits[i] for i in cancelled], timeout=0.2)
+        return [trained for trained in (f.result() for f in fits) if trained is not None]
 
 
 def predict_all(models: Sequence[Trained], df: DataFrame) -> DataFrame:
@@ -203,36 +247,93 @@ def evaluate(df: DataFrame, label: str = LABEL, prediction: str = "prediction")
     return {m: evaluator.evaluate(df, {evaluator.metricName: m}) for m in METRICS}
 
 
-@dataclass
-class Stack:
-    """Base models whose predictions feed a linear model."""
+class _Blended(HasFeaturesCol, HasLabelCol, HasPredictionCol):
+    key = Param(Params._dummy(), "key", "column that the folds follow", TypeConverters.toString)
+    folds = Param(Params._dummy(), "folds", "number of folds", TypeConverters.toInt)
+    seed = Param(Params._dummy(), "seed", "seed of the folds", TypeConverters.toInt)
 
-    base: list[Trained]
-    assembler: VectorAssembler
-    blender: Model
+    def _columns(self, models: Sequence) -> list[str]:
+        return [f"{self.uid}_{i}" for i in range(len(models))]
 
-    def transform(self, df: DataFrame) -> DataFrame:
-        inputs = self.assembler.getInputCols()
-        return self.blender.transform(self.assembler.transform(predict_all(self.base, df))).drop(*inputs, "stacked")
+    def _predicted(self, models: Sequence[Model], df: DataFrame) -> DataFrame:
+        """One prediction column per model, all in one pass."""
+        for name, model in zip(self._columns(models), models):
+            df = model.transform(df).withColumnRenamed(model.getPredictionCol(), name)
+        return df
+
+    def _stacked(self, models: Sequence[Model], df: DataFrame) -> DataFrame:
+        columns = self._columns(models)
+        assembler = VectorAssembler(inputCols=columns, outputCol=f"{self.uid}_all")
+        return assembler.transform(self._predicted(models, df)).drop(*columns)
 
 
-def stack(
-    train: DataFrame, key: str, options: Sequence[Candidate], folds: int = 3, seed: int = 1, label: str = LABEL
-) -> Stack:
-    """Train the blender on predictions for rows the base models have not seen.
+class StackedRegressor(Estimator, _Blended):
+    """A linear model over the predictions of others for rows that they have not seen.
 
-    Every fold is predicted by models of the other folds; the predictions of all models
-    become columns of the same row, so nothing has to be joined back.
+    Every fold is predicted by models of the other folds; the predictions of all models become columns of the
+    same row, so nothing has to be joined back. It is fitted, ranked and saved like any other candidate.
     """
-    fold = subset_number(F.col(key), folds, seed, "fold")
-    unseen = None
-    for number in range(folds):
-        models = train_candidates(train.filter(fold != number), options)
-        part = predict_all(models, train.filter(fold == number))
-        part = part.select(label, *[f"p_{m.model_id}" for m in models])
-        unseen = part if unseen is None else unseen.unionByName(part)
-    assembler = VectorAssembler(inputCols=[f"p_{o.model_id}" for o in options], outputCol="stacked")
-    blender = LinearRegression(featuresCol="stacked", labelCol=label).fit(
-        assembler.transform(materialise(unseen, "unseen"))
-    )
-    return Stack(train_candidates(train, options), assembler, blender)
+
+    def __init__(self, base: Sequence[Estimator] = (), key: str = "name", folds: int = 3, seed: int = 1, label: str = LABEL):
+        super().__init__()
+        self.base = list(base)
+        self._set(key=key, folds=folds, seed=seed, labelCol=label, featuresCol=FEATURES, predictionCol="prediction")
+
+    def _fit(self, dataset: DataFrame) -> StackedModel:
+        label, folds = self.getLabelCol(), self.getOrDefault(self.folds)
+        fold = subset_number(F.col(self.getOrDefault(self.key)), folds, self.getOrDefault(self.seed), "fold")
+        unseen = None
+        for number in range(folds):
+            models = [option.fit(dataset.filter(fold != number)) for option in self.base]
+            part = self._stacked(models, dataset.filter(fold == number)).select(label, f"{self.uid}_all")
+            unseen = part if unseen is None else unseen.unionByName(part)
+        blender = LinearRegression(featuresCol=f"{self.uid}_all", labelCol=label, predictionCol=self.getPredictionCol())
+        fitted = blender.fit(materialise(unseen, "unseen"))
+        model = StackedModel([option.fit(dataset) for option in self.base], fitted)
+        model._resetUid(self.uid)
+        return self._copyValues(model)
+
+
+class StackedModel(Model, _Blended, MLReadable, MLWritable):
+    """Base models, each saved in a folder of its own, and the linear model over their predictions."""
+
+    def __init__(self, base: Sequence[Model] = (), blender: Model | None = None):
+        super().__init__()
+        self.base, self.blender = list(base), blender
+
+    def _transform(self, dataset: DataFrame) -> DataFrame:
+        return self.blender.transform(self._stacked(self.base, dataset)).drop(f"{self.uid}_all")
+
+    def write(self) -> MLWriter:
+        return _StackWriter(self)
+
+    @classmethod
+    def read(cls) -> MLReader:
+        return _StackReader()
+
+
+class _StackWriter(MLWriter):
+    def __init__(self, instance: StackedModel):
+        super().__init__()
+        self.instance = instance
+
+    def saveImpl(self, path: str) -> None:
+        # A pipeline of models knows how to save and load each by its own class.
+        DefaultParamsWriter.saveMetadata(self.instance, path, self.sparkSession)
+        PipelineModel([*self.instance.base, self.instance.blender]).save(f"{path}/models")
+
+
+class _StackReader(MLReader):
+    def load(self, path: str) -> StackedModel:
+        metadata = DefaultParamsReader.loadMetadata(path, self.sparkSession)
+        *base, blender = PipelineModel.load(f"{path}/models").stages
+        model = StackedModel(base, blender)
+        model._resetUid(metadata["uid"])
+        DefaultParamsReader.getAndSetParams(model, metadata)
+        return model
+
+
+def stacked(options: Sequence[Candidate], key: str, folds: int = 3, seed: int = 1, label: str = LABEL) -> Candidate:
+    """The stack of other candidates as a candidate itself."""
+    params = f"base={'+'.join(o.model_id for o in options)}, folds={folds}"
+    return Candidate("stacked", StackedRegressor([o.estimator for o in options], key, folds, seed, label), params)

@@ -97,14 +97,22 @@ class ModelSearch:
         self.preparation = M.prepare_features(train, numbers, categories, text, label, key, seed=seed)
         # Every candidate reads the training rows several times: encode them once.
         rows = self.preparation.training_rows()
-        self.train = materialise(rows.select(label, M.FEATURES), "prepared")
+        self.key = key
+        self.train = materialise(rows.select(label, M.FEATURES, *([key] if key else [])), "prepared")
         self.test = self.preparation.transform(test)
         self.ranked: list[M.Trained] = []
 
-    def train_models(self, max_runtime: float | None = None, max_models: int = 0) -> DataFrame:
-        """Train and rank; returns the test set with the predictions of the best model."""
-        options = M.candidates(self.seed, self.label)
-        fitted = M.train_candidates(self.train, options, max_runtime, max_models)
+    def train_models(self, max_runtime: float | None = None, max_models: int = 0, stack: int = 0) -> DataFrame:
+        """Train and rank; returns the test set with the predictions of the best model.
+
+        `stack` of the first candidates make one more, which needs a key for its folds.
+        """
+        options = M.candidates(self.seed, self.label)[: max_models or None]
+        if stack:
+            if self.key is None:
+                raise ValueError("a stack needs a key that its folds follow")
+            options.append(M.stacked(options[:stack], self.key, seed=self.seed, label=self.label))
+        fitted = M.train_candidates(self.train, options, max_runtime)
         self.ranked = M.rank(fitted, self.test, self.label)
         return self.score(self.test)
 

@@ -1,8 +1,9 @@
 import math
 import random
+import time
 
 import pytest
-from pyspark.ml import Pipeline, PipelineModel
+from pyspark.ml import Estimator, Pipeline, PipelineModel
 from pyspark.ml.linalg import SparseVector
 from pyspark.sql import functions as F
 
@@ -161,11 +162,54 @@ def test_repeatable_and_limited(spark, parts):
     assert len(M.train_candidates(rows, M.candidates(), max_models=2)) == 2
 
 
-def test_stack(spark, parts):
-    prep = M.prepare_features(parts[0], ["a", "b"], ["c"])
-    rows = prep.transform(parts[0]).select("id", "target", "features")
-    model = M.stack(rows, "id", M.candidates()[:2], folds=2)
-    scored = model.transform(prep.transform(parts[1]))
-    assert "stacked" not in scored.columns and scored.count() == 150
-    base = M.rank(model.base, prep.transform(parts[1]))
-    assert M.evaluate(scored)["rmse"] <= max(t.metrics["rmse"] for t in base) * 1.1
+def test_stack_ranks_and_is_saved(spark, parts, tmp_path):
+    search = ModelSearch(*parts, numbers=["a", "b"], categories=["c"], key="id")
+    scored = search.train_models(max_models=2, stack=2)
+    assert scored.count() == 150 and not [c for c in scored.columns if "Stacked" in c]
+    board = {r.model_id: r for r in search.get_leaderboard().collect()}
+    assert set(board) == {"linear", "forest-20", "stacked"}
+    assert board["stacked"].rmse <= max(r.rmse for r in board.values())
+    trained = next(t for t in search.ranked if t.model_id == "stacked")
+    trained.model.save(str(tmp_path / "stack"))
+    again = M.StackedModel.load(str(tmp_path / "stack"))
+    key = lambda df: sorted((r["id"], r["prediction"]) for r in df.select("id", "prediction").collect())
+    assert key(again.transform(search.test)) == key(trained.model.transform(search.test))
+    with pytest.raises(ValueError, match="key"):
+        ModelSearch(*parts, numbers=["a"]).train_models(max_models=1, stack=1)
+
+
+class Slow(Estimator):
+    """A fit of many short jobs, a minute in all."""
+
+    def __init__(self, rows):
+        super().__init__()
+        self.rows, self.jobs = rows, 0
+
+    def _fit(self, dataset):
+        for _ in range(600):
+            self.jobs += 1
+            self.rows.sparkSession.range(2).selectExpr("reflect('java.lang.Thread', 'sleep', 100L * (id + 1))").collect()
+        raise AssertionError("nobody stopped it")
+
+
+def test_the_time_limit_stops_a_long_fit(spark, parts):
+    prep = M.prepare_features(parts[0], ["a", "b"])
+    rows = prep.training_rows().select("target", "features")
+    quick, slow = M.candidates()[0], Slow(parts[0])
+    started = time.monotonic()
+    found = M.train_candidates(rows, [quick, M.Candidate("slow", slow, ""), M.Candidate("late", slow, "")], 8, parallel=2)
+    assert [t.model_id for t in found] == ["linear"] and time.monotonic() - started < 30
+    began = slow.jobs
+    time.sleep(1)
+    assert slow.jobs == began  # nothing goes on behind the caller's back
+    assert not len(spark.sparkContext.getJobTags())
+    board = M.leaderboard(spark, M.rank(found, prep.transform(parts[1])))
+    assert board.count() == 1
+    # Without any finished fit the first goes on.
+    assert [t.model_id for t in M.train_candidates(rows, [quick, M.Candidate("slow", slow, "")], 0)] == ["linear"]
+
+
+def test_a_failing_fit_is_an_error(spark, parts):
+    rows = M.prepare_features(parts[0], ["a"]).training_rows().select("target")
+    with pytest.raises(Exception, match="features"):
+        M.train_candidates(rows, M.candidates()[:2])
