@@ -9,7 +9,9 @@ from pyspark.sql import functions as F
 from limelight.catalogue.fixtures import README_SQL, REPOSITORIES_SQL, ntz, readmes, repositories, table
 from limelight.catalogue.registry import query
 from limelight.functions.hashing import key_hash
+from limelight.functions.text import FIRST_HEADING_OLD
 from limelight.operators import features, sampling
+from limelight.operators.quantiles import ExactQuantileBuckets
 from limelight.schema import FEATURES, conform
 from limelight.sources.datasets import materialise_once
 from limelight.sources.scratch import scratch_path
@@ -142,11 +144,44 @@ def hash_of_key(spark, sf_dir):
     return table(spark, sf_dir, "orders").select("o_orderkey", key_hash(F.col("o_orderkey"), 1).alias("hash"))
 
 
-@query()
+def buckets_sql(points: str, buckets: int) -> str:
+    """`points` gives id and v; a bucket begins with the value at rank ceil(k n / buckets), a missing value has none."""
+    return f"""WITH p AS ({points}), r AS (SELECT v, row_number() OVER (ORDER BY v) AS rank, count(*) OVER () AS n
+        FROM p WHERE v IS NOT NULL),
+    e AS (SELECT DISTINCT r.v AS edge FROM r, range(1, {buckets}) k(k) WHERE rank = greatest(1, ceil(k * n / {buckets})))
+    SELECT id, v, CASE WHEN v IS NOT NULL THEN (SELECT count(*) FROM e WHERE edge <= v)::DOUBLE END AS bucket FROM p"""
+
+
+@query(buckets_sql("SELECT o_orderkey AS id, o_totalprice::DOUBLE AS v FROM orders", 10))
 def quantile_bucket(spark, sf_dir):
-    """Bucket edges are approximate (rank error 0.1 %), so there is no exact SQL for it."""
-    prices = table(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice")
-    return features.quantile_stage("o_totalprice", "bucket", 10).fit(prices).transform(prices)
+    """Tenths of the orders by price, cut at exact quantiles."""
+    prices = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_totalprice").cast("double").alias("v"))
+    return ExactQuantileBuckets("v").fit(prices).transform(prices)
+
+
+@query(
+    buckets_sql(
+        """SELECT l_orderkey * 10 + l_linenumber AS id, CASE WHEN l_linenumber <> 5 THEN l_quantity::DOUBLE END AS v
+        FROM lineitem""", 7
+    )
+)
+def quantile_bucket_ties(spark, sf_dir):
+    """Fifty different values in all lines, and missing ones."""
+    quantity = F.when(F.col("l_linenumber") != 5, F.col("l_quantity").cast("double"))
+    lines = table(spark, sf_dir, "lineitem").select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("id"), quantity.alias("v"))
+    return ExactQuantileBuckets("v", buckets=7).fit(lines).transform(lines)
+
+
+@query(
+    """SELECT doc_id, coalesce(regexp_extract(readme, '^[# ]+(.*[\\p{L}\\p{N}_])', 1), '') AS titles, length(readme)::INTEGER AS length
+    FROM (SELECT doc_id, """
+    + README_SQL
+    + """ AS readme FROM documents)"""
+)
+def heading_old(spark, sf_dir):
+    """The older pattern: the heading without its marks, up to the last end of a word."""
+    stage = features.ExtractTextFeatures("readme", FIRST_HEADING_OLD, 1)
+    return stage.transform(readmes(spark, sf_dir)).drop("readme")
 
 
 @query(

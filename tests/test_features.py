@@ -1,4 +1,5 @@
 import math
+import random
 
 import pytest
 from pyspark.ml import Pipeline, PipelineModel
@@ -6,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from limelight import schema
-from limelight.operators import explore, features, sampling
+from limelight.operators import explore, features, quantiles, sampling
 
 
 def test_stages(spark):
@@ -110,6 +111,34 @@ def test_quantiles_are_even(spark):
     assert all(a.hi < b.lo for a, b in zip(edges, edges[1:]))
 
 
+@pytest.mark.parametrize("few", [4_000, 2])
+@pytest.mark.parametrize("kind", ["ties", "spread", "one value", "small"])
+def test_order_statistics(spark, monkeypatch, kind, few):
+    monkeypatch.setattr(quantiles, "FEW", few)
+    rng = random.Random(kind)
+    values = {
+        "ties": [rng.choice([0.0, 5.0, 5.0, 5.0, 7.5]) for _ in range(900)] + [None] * 90 + [math.nan] * 9,
+        "spread": [rng.gauss(0, 1) ** 3 for _ in range(3_000)] + [math.inf, -math.inf],
+        "one value": [3.0] * 200,
+        "small": [2.0, 1.0],
+    }[kind]
+    df = spark.createDataFrame([(v,) for v in values], "v double").repartition(5)
+    shares = [0.0, 0.001, 0.1, 0.25, 0.5, 0.75, 0.999, 1.0]
+    order = sorted(v for v in values if v is not None and not math.isnan(v))
+    expected = [order[max(1, math.ceil(s * len(order))) - 1] for s in shares]
+    assert quantiles.order_statistics(df, "v", shares) == expected
+
+
+def test_exact_buckets(spark, tmp_path):
+    df = spark.createDataFrame([(v,) for v in [1.0, 2.0, 2.0, 2.0, 3.0, None, math.nan]], "v double")
+    model = quantiles.ExactQuantileBuckets("v", buckets=5).fit(df)
+    got = [(r.v, r.bucket) for r in model.transform(df).collect()]
+    assert got[:6] == [(1.0, 1.0), (2.0, 2.0), (2.0, 2.0), (2.0, 2.0), (3.0, 2.0), (None, None)] and got[6][1] == 3.0
+    assert quantiles.order_statistics(df.limit(0), "v", [0.5]) == []
+    empty = quantiles.ExactQuantileBuckets("v").fit(df.limit(0)).transform(df.filter("isnan(v)")).first()
+    assert empty.bucket == 2.0
+
+
 def test_explore(spark):
     df = spark.createDataFrame([("a", 1), ("b", 2), ("b", None), (None, 2), (None, 2)], "c string, n int")
     assert [tuple(r) for r in explore.value_counts(df, "c").collect()] == [(None, 2), ("b", 2), ("a", 1)]
