@@ -211,7 +211,6 @@ def leaderboard_rules(spark, sf_dir):
         F.max(F.col("model_id") == "stacked").alias("stacked_is_in"), F.min("rmse").alias("rmse"),
     )
     error = F.col("target") - F.col("prediction")
-    measured = scored.agg(F.sqrt(F.avg(error * error)).alias("measured"))
-    near = F.abs(F.col("measured") - F.col("rmse")) <= 1e-9 * F.col("rmse")
-    both = falling.join(F.broadcast(measured), F.col("models") >= 0)
-    return both.select("models", "falling", near.alias("best_scores"), "stacked_is_in")
+    measured = scored.agg(F.sqrt(F.avg(error * error))).first()[0]
+    near = F.abs(measured - F.col("rmse")) <= 1e-9 * F.col("rmse")
+    return falling.select("models", "falling", near.alias("best_scores"), "stacked_is_in")

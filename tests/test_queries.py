@@ -14,7 +14,7 @@ TABLES = (
     "conversations"
 ).split()
 QUERIES, ORACLES = catalogue.runnable(), catalogue.oracles()
-ROWS_ONLY = {"quantile_bucket", "leaderboard", "score", "importance", "stacked_score"}
+ROWS_ONLY = {"leaderboard", "score", "importance", "stacked_score"}
 
 
 @pytest.fixture(scope="module")
