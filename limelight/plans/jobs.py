@@ -10,11 +10,12 @@ from __future__ import annotations
 import argparse
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import types as T
 
 from limelight.operators.features import popularity_stages
 from limelight.operators.quality import audit_constraints, repository_rules
 from limelight.plans.dataset import ModelSearch, Processor
-from limelight.schema import FEATURES
+from limelight.schema import FEATURES, REPOSITORIES
 from limelight.session import pin_utc
 from limelight.sources.datasets import RECORDS_PER_FILE, read_dataset
 from limelight.streaming import ingest
@@ -37,7 +38,13 @@ def collect(
         ingest.compact(store)
     if prune:
         store.prune()
-    return audit_constraints(ingest.current_repositories(store), repository_rules())
+    return audit_constraints(stored_repositories(spark, store), repository_rules())
+
+
+def stored_repositories(spark: SparkSession, store: VersionedStore) -> DataFrame:
+    """The current rows; before the first commit an empty table with their columns."""
+    rows = ingest.current_repositories(store)
+    return spark.createDataFrame([], T.StructType([*REPOSITORIES.fields, T.StructField("ingest_seq", T.LongType())])) if rows is None else rows
 
 
 def process(
@@ -50,7 +57,9 @@ def process(
     records_per_file: int = RECORDS_PER_FILE,
 ) -> dict[str, DataFrame]:
     """Training and test set of the stored repositories, computed unless both are there already."""
-    rows = ingest.current_repositories(VersionedStore(spark, store_root)).drop("ingest_seq")
+    rows = stored_repositories(spark, VersionedStore(spark, store_root)).drop("ingest_seq")
+    if rows.isEmpty():
+        raise ValueError(f"nothing has been collected in {store_root}: there are no rows to learn from")
     processor = Processor(rows, percent, seed)
     paths = {"train": train, "test": test}
     return processor.load_or_process(paths, FEATURES, *popularity_stages(), records_per_file=records_per_file)

@@ -2,6 +2,8 @@
 
 from datetime import datetime
 
+import pytest
+
 from limelight.operators import keyed, quality
 from limelight.plans import jobs
 from limelight.streaming import ingest
@@ -50,6 +52,15 @@ def test_collect_process_model(spark, tmp_path, capsys):
     assert (top.model_id, top.feature) == ("forest-20", "commits")
 
 
+def test_nothing_landed_yet(spark, tmp_path):
+    (tmp_path / "landing").mkdir()
+    place = {n: str(tmp_path / n) for n in ("landing", "store", "checkpoint", "train", "test")}
+    audit = jobs.collect(spark, place["landing"], place["store"], place["checkpoint"])
+    assert {r.violations for r in audit.collect()} == {0}
+    with pytest.raises(ValueError, match="nothing has been collected"):
+        jobs.process(spark, place["store"], place["train"], place["test"])
+
+
 def test_ledger_rules(spark):
     days = [datetime(2024, 1, d) for d in range(1, 5)]
     spans = list(zip(days, days[1:]))
