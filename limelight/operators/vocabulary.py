@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from limelight.functions.text import bigrams, tokens
@@ -24,8 +24,40 @@ def token_counts(df: DataFrame, key: str, text: str) -> DataFrame:
 
 
 def bag_of_words(df: DataFrame, key: str, text: str) -> DataFrame:
-    """How often each document holds each token. A document's tokens are counted within its task before any shuffle."""
-    return token_rows(df, key, text).groupBy(key, "token").agg(F.count("*").alias("n"))
+    """How often each document holds each token. `df` is read twice.
+
+    A row's tokens are counted within the row, so nothing of it is moved. Only the rows of a key that has several
+    are grouped; which keys these are is found among the keys alone.
+    """
+    texts = df.select(key, text)
+    repeated = texts.groupBy(F.col(key).alias("__key")).agg(F.count("*").alias("__n")).filter("__n > 1").select("__key")
+    repeated = materialise(repeated, "repeated-keys")
+    counted = lambda rows: spread(rows, key).select(key, F.inline(_counted(F.col(text))))
+    if repeated.isEmpty():
+        return counted(texts)
+    repeated, _ = broadcast_if_small(repeated)
+    same = F.col(key).eqNullSafe(F.col("__key"))
+    words = token_rows(texts.join(repeated, same, "left_semi"), key, text)
+    return counted(texts.join(repeated, same, "left_anti")).unionByName(
+        words.groupBy(key, "token").agg(F.count("*").alias("n"))
+    )
+
+
+def _counted(text: Column) -> Column:
+    """(token, n) for the distinct tokens of a text: the lengths of the runs of its sorted tokens."""
+
+    def runs(words: Column) -> Column:
+        places = F.sequence(F.lit(0), F.size(words) - 1)
+        starts = F.filter(places, lambda i: (i == 0) | (F.get(words, i) != F.get(words, i - 1)))
+        return F.flatten(F.transform(F.array(starts), lambda s: F.transform(s, lambda at, k: run(words, s, at, k))))
+
+    def run(words: Column, starts: Column, at: Column, k: Column) -> Column:
+        n = F.coalesce(F.get(starts, k + 1), F.size(words)) - at
+        return F.struct(F.get(words, at).alias("token"), n.cast("bigint").alias("n"))
+
+    # An array of one makes the sorted tokens a lambda's variable, which is evaluated once.
+    words = F.filter(F.array(F.sort_array(tokens(text))), lambda w: F.size(w) > 0)
+    return F.flatten(F.transform(words, runs))
 
 
 def bigram_counts(df: DataFrame, key: str, text: str) -> DataFrame:
@@ -71,17 +103,22 @@ def lemma_counts(df: DataFrame, key: str, text: str, dictionary: DataFrame) -> D
 def lemma_bags(df: DataFrame, key: str, text: str, dictionary: DataFrame) -> DataFrame:
     """`bag_of_words` over lemmas; pass a stored `dictionary`.
 
-    A small dictionary is broadcast to the tokens, which are then counted once. A large one
-    meets the counted tokens of each document, which are far fewer rows to shuffle.
+    Tokens are counted by document first. Only those that have a lemma or are one can meet others of their document;
+    the rest is not moved again. A small dictionary is broadcast to the counted tokens.
     """
+    bags = bag_of_words(df, key, text)
     sided, small = broadcast_if_small(dictionary)
-    if small:
-        found = token_rows(df, key, text).withColumn("n", F.lit(1)).join(sided, "token", "left")
-    else:
-        bags = materialise(bag_of_words(df, key, text), "bags")
+    if not small:
+        bags = materialise(bags, "bags")
         weights = lambda: materialise(bags.groupBy("token").agg(F.count("*").alias("df")), "weights")
         found = lookup_join(bags, dictionary, "token", weights, "df", "left")
-    return found.groupBy(key, F.coalesce("lemma", "token").alias("lemma")).agg(F.sum("n").alias("n"))
+        return found.groupBy(key, F.coalesce("lemma", "token").alias("lemma")).agg(F.sum("n").alias("n"))
+    stems = F.broadcast(dictionary.select(F.col("lemma").alias("token"), F.lit(True).alias("__stem")).distinct())
+    found = bags.join(sided, "token", "left").join(stems, "token", "left")
+    meets = F.col("lemma").isNotNull() | F.col("__stem").isNotNull()
+    lemma = F.coalesce("lemma", "token").alias("lemma")
+    merged = found.filter(meets).groupBy(key, lemma).agg(F.sum("n").alias("n"))
+    return found.filter(~meets).select(key, lemma, "n").unionByName(merged)
 
 
 def tf_idf(df: DataFrame, key: str, text: str) -> DataFrame:

@@ -112,3 +112,23 @@ def test_lookup_join(spark):
     for how in ("inner", "left"):
         got = sorted(map(str, lookup_join(df, lookup, "k", lambda: weights, "count", how).collect()))
         assert got == sorted(map(str, df.join(lookup, "k", how).collect()))
+
+
+@pytest.mark.parametrize("join_path", ["broadcast"], indirect=True)
+def test_bags_of_single_rows_are_not_moved(spark, corpus, plan, monkeypatch):
+    monkeypatch.setattr(V, "spread", lambda df, key: df)
+    assert "hashpartitioning(doc" not in plan(V.bag_of_words(corpus[1], "doc", "text"))
+
+
+def test_rows_of_one_key_make_one_bag(spark):
+    """Also those without a key, and texts that are null, empty or without a token."""
+    rows = [(1, "b a b"), (2, "c"), (1, "a d"), (None, "a"), (None, "a b"), (3, None), (4, ""), (5, "!"), (3, "z z")]
+    df = spark.createDataFrame(rows, "doc bigint, text string")
+    want = {(1, "a"): 2, (1, "b"): 2, (1, "d"): 1, (2, "c"): 1, (None, "a"): 2, (None, "b"): 1, (3, "z"): 2}
+    got = [(r.doc, r.token, r.n) for r in V.bag_of_words(df, "doc", "text").collect()]
+    assert len(got) == len(want) and {(d, t): n for d, t, n in got} == want
+    weights = {(r.doc, r.token): r.df for r in V.tf_idf(df, "doc", "text").collect()}
+    assert weights == {(d, t): sum(u == t for _, u in want) for d, t in want}
+    lemmas = spark.createDataFrame([("a", "b"), ("c", "x")], "token string, lemma string")
+    got = {(r.doc, r.lemma): r.n for r in V.lemma_bags(df, "doc", "text", lemmas).collect()}
+    assert got == {(1, "b"): 4, (1, "d"): 1, (2, "x"): 1, (None, "b"): 3, (3, "z"): 2}
