@@ -122,10 +122,18 @@ def lemma_bags(df: DataFrame, key: str, text: str, dictionary: DataFrame) -> Dat
 
 
 def tf_idf(df: DataFrame, key: str, text: str) -> DataFrame:
-    """tf * ln((documents + 1) / (df + 1)) per document and token."""
+    """tf * ln((documents + 1) / (df + 1)) per document and token.
+
+    While the frequencies are few, they are broadcast and the counted tokens are neither moved nor stored: counting
+    them twice costs less than writing them.
+    """
     documents = df.agg(F.count("*")).scalar()
-    bags = materialise(bag_of_words(df, key, text), "bags")
+    bags = bag_of_words(df, key, text)
     frequency = materialise(bags.groupBy("token").agg(F.count("*").alias("df")), "frequency")
-    weighted = lookup_join(bags, frequency, "token", lambda: frequency, "df", "inner")
+    sided, small = broadcast_if_small(frequency)
+    if small:
+        weighted = bags.join(sided, "token")
+    else:
+        weighted = lookup_join(materialise(bags, "bags"), frequency, "token", lambda: frequency, "df", "inner")
     idf = F.log((documents + 1) / (F.col("df") + 1))
     return weighted.select(key, "token", F.col("n").alias("tf"), "df", (F.col("n") * idf).alias("tfidf"))

@@ -117,7 +117,8 @@ def test_lookup_join(spark):
 @pytest.mark.parametrize("join_path", ["broadcast"], indirect=True)
 def test_bags_of_single_rows_are_not_moved(spark, corpus, plan, monkeypatch):
     monkeypatch.setattr(V, "spread", lambda df, key: df)
-    assert "hashpartitioning(doc" not in plan(V.bag_of_words(corpus[1], "doc", "text"))
+    for bags in (V.bag_of_words(corpus[1], "doc", "text"), V.tf_idf(corpus[1], "doc", "text")):
+        assert "hashpartitioning(doc" not in plan(bags)
 
 
 def test_rows_of_one_key_make_one_bag(spark):
