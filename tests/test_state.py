@@ -106,3 +106,20 @@ def test_audit(spark):
     assert set(clean.values()) == {0}
     assert [r.copies for r in quality.duplicated_keys(df, ["id"]).collect()] == [2]
     assert [r.n for r in quality.fill_defaults(df, {"n": 9}).filter("id is null").collect()] == [9]
+
+
+def test_latest_of_stored_moves_repeated_keys_only(spark, monkeypatch):
+    """The same rows as `latest_per_key`, null keys included; with few repeats the single rows are not windowed."""
+    from limelight.operators import keyed
+    from limelight.plans import skew
+
+    windowed, plain = [], keyed.latest_per_key
+    rows = [(k, s, "x" * 9) for s in (1, 2) for k in ((1, 2, 3, None) if s == 1 else (2, None))]
+    df = spark.createDataFrame(rows, "id bigint, seq bigint, text string")
+    monkeypatch.setattr(keyed, "latest_per_key", lambda d, *a: windowed.append(d.count()) or plain(d, *a))
+    want = sorted(plain(df, ["id"], ["seq"]).collect(), key=str)
+    assert sorted(keyed.latest_of_stored(df, ["id"], ["seq"]).collect(), key=str) == want
+    assert windowed == [4]
+    assert keyed.latest_of_stored(df.filter("seq = 1"), ["id"], ["seq"]).count() == 4 and windowed == [4]
+    monkeypatch.setattr(skew, "BROADCAST_ROWS", 0)
+    assert sorted(keyed.latest_of_stored(df, ["id"], ["seq"]).collect(), key=str) == want
