@@ -215,6 +215,12 @@ def count_per_period(rows: DataFrame, ts: str, periods: DataFrame, start: str =
 CELLS_PER_PERIOD = 3  # as a power of two: a period is covered by about 2^3 aligned cells
 
 
+def _cell_key(cell: Column, level: Column) -> Column:
+    """One whole number for the cell of a level: twice its middle. The lowest bit that is set tells the level."""
+    shift = lambda number, by: F.call_function("shiftleft", number, by)  # wraps around, unlike a product
+    return shift(cell, level + 1).bitwiseOR(shift(F.lit(1).cast("bigint"), level))
+
+
 def period_cells(periods: DataFrame, start: str = "startdate", end: str = "enddate") -> DataFrame:
     """Each period with the aligned cells that cover it: (level, cell) is [cell * 2^level, (cell + 1) * 2^level).
 
@@ -227,6 +233,7 @@ def period_cells(periods: DataFrame, start: str = "startdate", end: str = "endda
         bounded.filter("__from < __to")
         .withColumn("__level", level)
         .withColumn("__cell", F.explode(F.sequence(shift(F.col("__from")), shift(F.col("__to") - 1))))
+        .withColumn("__key", _cell_key(F.col("__cell"), F.col("__level")))
     )
 
 
@@ -234,20 +241,26 @@ def assign_periods(rows: DataFrame, ts: str, periods: DataFrame, start: str = "s
     """Each row with every period it lies in; once with nulls if there is none. Periods may overlap.
 
     Periods are covered by aligned cells. A row knows its cell of any level, so rows and periods meet in an equality
-    join on (level, cell); the cells at the ends of a period are compared exactly. A row is looked up once per level,
-    of which there are as many as orders of magnitude of period lengths. Few cells are broadcast, and then no row moves.
+    join on the cell's key, a single long, which Spark looks up and walks through faster than a pair of columns; the
+    cells at the ends of a period are compared exactly. A row is looked up once per level, of which there are as many
+    as orders of magnitude of period lengths. Few cells are broadcast.
+
+    With periods of one length no row moves then. With several, a row may have thousands of matches, so the rows are
+    dealt evenly first: otherwise a file of few row groups would leave all matches to as few tasks.
     """
-    cells = materialise(period_cells(periods, start, end), "period-cells")
+    cells = period_cells(periods, start, end).drop("__cell")
+    cells = materialise(cells.orderBy("__key"), "period-cells")  # periods of a cell lie side by side, also when broadcast
     levels = sorted(r[0] for r in cells.select("__level").distinct().collect())  # 63 at most
     none = [F.lit(None).cast(periods.schema[c].dataType).alias(c) for c in (start, end)]
     if not levels:
         return rows.select("*", *none)
-    sided, _ = broadcast_if_small(cells)
-    level = F.explode(F.array(*map(F.lit, levels))) if len(levels) > 1 else F.lit(levels[0])
-    placed = rows.withColumn("__at", micros(F.col(ts))).withColumn("__row_level", level)
-    placed = placed.withColumn("__row_cell", F.call_function("shiftright", F.col("__at"), F.col("__row_level")))
-    meets = (F.col("__row_level") == F.col("__level")) & (F.col("__row_cell") == F.col("__cell"))
-    meets &= (F.col("__at") >= F.col("__from")) & (F.col("__at") < F.col("__to"))
+    sided, small = broadcast_if_small(cells.drop("__level"))
+    dealt = rows.repartition(_tasks(rows.sparkSession)) if small and len(levels) > 1 else rows
+    at = F.col("__at")
+    keys = [_cell_key(F.call_function("shiftright", at, F.lit(n)), F.lit(n)) for n in levels]
+    placed = dealt.withColumn("__at", micros(F.col(ts)))
+    placed = placed.withColumn("__row_key", F.explode(F.array(*keys)) if len(keys) > 1 else keys[0])
+    meets = (F.col("__row_key") == F.col("__key")) & (at >= F.col("__from")) & (at < F.col("__to"))
     columns = [*rows.columns, start, end]
     if len(levels) == 1:
         return placed.join(sided, meets, "left").select(*columns)
@@ -257,6 +270,11 @@ def assign_periods(rows: DataFrame, ts: str, periods: DataFrame, start: str = "s
     return matched.unionByName(outside.select(*rows.columns, *none))
 
 
+def _tasks(spark) -> int:
+    """Enough for every core, and as many as shuffles are set to have."""
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+
+
 def _outside(rows: DataFrame, ts: str, periods: DataFrame, start: str, end: str) -> DataFrame:
     """Rows in none of the periods: after the last start before them, the latest end so far has passed.
 

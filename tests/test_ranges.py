@@ -238,6 +238,24 @@ def test_overlapping_periods_give_a_row_per_match(spark):
     assert got == expected
 
 
+def test_matches_of_one_row_group_are_made_by_all_tasks(spark):
+    """Rows that one task reads, each in many periods of several lengths, on both sides of 1970."""
+    second = lambda n: datetime(1970, 1, 1) + timedelta(seconds=n)
+    rows = [(i, second(20 * i - 4_000)) for i in range(400)]
+    periods = [(second(a), second(a + length)) for a in range(-5_000, 5_000, 500) for length in (7, 900, 6_000)]
+    df = spark.createDataFrame(rows, "id int, ts timestamp").coalesce(1)
+    found = ranges.assign_periods(df, "ts", spark.createDataFrame(periods, "startdate timestamp, enddate timestamp"))
+    got = found.withColumn("task", F.spark_partition_id()).filter("startdate is not null").collect()
+    assert Counter(tuple(r)[:4] for r in got) == Counter((i, t, *p) for i, t in rows for p in periods if p[0] <= t < p[1])
+    assert max(Counter(r.task for r in got).values()) * 2 < len(got)
+
+
+def test_cells_of_all_levels_have_keys_of_their_own(spark):
+    cells = spark.range(-40, 40).select("id", F.explode(F.sequence(F.lit(0), F.lit(20))).alias("level"))
+    keys = cells.select(ranges._cell_key(F.col("id"), F.col("level")).alias("key"))
+    assert keys.distinct().count() == 80 * 21
+
+
 def test_one_length_needs_no_shuffle_of_rows(spark, plan):
     hour = lambda h: datetime(2024, 1, 1, h)
     rows = spark.createDataFrame([(hour(5),)], "ts timestamp")
