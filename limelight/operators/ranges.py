@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from itertools import accumulate
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -197,19 +198,13 @@ def count_per_period(rows: DataFrame, ts: str, periods: DataFrame, start: str =
     boundaries = boundaries.select(
         "__at", in_slice, F.lit(0).alias("__kind"), start, end, "__sign", F.lit(0).cast("bigint").alias("__n")
     )
-    # One row per slice.
-    totals = instants.groupBy(in_slice).agg(F.sum("__n").alias("__total"))
-    earlier = Window.orderBy(SLICE).rowsBetween(Window.unboundedPreceding, -1)
-    slices = spark.range(len(bounds) + 1).select(F.col("id").cast("int").alias(SLICE)).join(totals, SLICE, "left")
-    carried = slices.select(SLICE, F.coalesce(F.sum("__total").over(earlier), F.lit(0)).alias("__carried"))
+    # Rows before each slice, one number per slice, like the bounds.
+    totals = dict(facts.select(in_slice).groupBy(SLICE).count().collect())
+    carried = list(accumulate((totals.get(n, 0) for n in range(len(bounds))), initial=0))
     here = Window.partitionBy(SLICE).orderBy("__at", "__kind").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     swept = events.unionByName(boundaries).withColumn("__here", F.sum("__n").over(here)).filter("__kind = 0")
-    before = F.col("__here") + F.col("__carried")
-    return (
-        swept.join(F.broadcast(carried), SLICE)
-        .groupBy(start, end)
-        .agg(F.greatest(F.sum(F.col("__sign") * before), F.lit(0)).alias("numrepos"))
-    )
+    before = F.col("__here") + F.get(F.lit(carried), F.col(SLICE))
+    return swept.groupBy(start, end).agg(F.greatest(F.sum(F.col("__sign") * before), F.lit(0)).alias("numrepos"))
 
 
 CELLS_PER_PERIOD = 3  # as a power of two: a period is covered by about 2^3 aligned cells
