@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 from itertools import accumulate
 
 from pyspark.sql import Column, DataFrame, Window
@@ -232,6 +233,12 @@ def period_cells(periods: DataFrame, start: str = "startdate", end: str = "endda
     )
 
 
+BLOCK_ROWS = 64  # rows side by side in time that meet a period together
+GRID_ROWS = 16 * BLOCK_ROWS  # rows of a cell that is cut into blocks, on the average: most blocks are full
+PART_PERIODS = 128  # of a cell; Spark holds the matches of a block with a part in memory
+TASK_ROWS = 1 << 16  # rows whose matches one task makes; so few values are stored as places in a list
+
+
 def assign_periods(rows: DataFrame, ts: str, periods: DataFrame, start: str = "startdate", end: str = "enddate"):
     """Each row with every period it lies in; once with nulls if there is none. Periods may overlap.
 
@@ -240,29 +247,73 @@ def assign_periods(rows: DataFrame, ts: str, periods: DataFrame, start: str = "s
     cells at the ends of a period are compared exactly. A row is looked up once per level, of which there are as many
     as orders of magnitude of period lengths. Few cells are broadcast.
 
-    With periods of one length no row moves then. With several, a row may have thousands of matches, so the rows are
-    dealt evenly first: otherwise a file of few row groups would leave all matches to as few tasks.
+    With periods of one length no row moves then. With several, a row may have thousands of matches, which the result
+    has to hold. Periods much longer than it takes for some hundred rows to come therefore meet blocks of rows, and the
+    result has the rows of a block period after period: a block is looked up once, and where the result is stored, a
+    period is one entry for a block and the block's rows repeat. Shorter periods meet single rows, dealt evenly:
+    otherwise a file of few row groups would leave all matches to as few tasks.
     """
     cells = period_cells(periods, start, end).drop("__cell")
     cells = materialise(cells.orderBy("__key"), "period-cells")  # periods of a cell lie side by side, also when broadcast
     levels = sorted(r[0] for r in cells.select("__level").distinct().collect())  # 63 at most
     none = [F.lit(None).cast(periods.schema[c].dataType).alias(c) for c in (start, end)]
-    if not levels:
+    placed = rows.withColumn("__at", micros(F.col(ts)))
+    first, last, n = placed.agg(F.min("__at"), F.max("__at"), F.count("__at")).first() if len(levels) > 1 else (0, 0, 1)
+    if not levels or not n:
         return rows.select("*", *none)
-    sided, small = broadcast_if_small(cells.drop("__level"))
-    dealt = rows.repartition(_tasks(rows.sparkSession)) if small and len(levels) > 1 else rows
-    at = F.col("__at")
-    keys = [_cell_key(F.call_function("shiftright", at, F.lit(n)), F.lit(n)) for n in levels]
-    placed = dealt.withColumn("__at", micros(F.col(ts)))
-    placed = placed.withColumn("__row_key", F.explode(F.array(*keys)) if len(keys) > 1 else keys[0])
-    meets = (F.col("__row_key") == F.col("__key")) & (at >= F.col("__from")) & (at < F.col("__to"))
-    columns = [*rows.columns, start, end]
+    sided, small = broadcast_if_small(cells)
+    at, columns = F.col("__at"), [*rows.columns, start, end]
     if len(levels) == 1:
-        return placed.join(sided, meets, "left").select(*columns)
-    matched = placed.join(sided, meets, "inner").select(*columns)
+        placed = placed.withColumn("__row_key", _cell_key(F.shiftright(at, levels[0]), F.lit(levels[0])))
+        return placed.join(sided, (F.col("__row_key") == F.col("__key")) & _within(at), "left").select(*columns)
+    grid = max(((last - first + 1) * GRID_ROWS // n).bit_length() - 1, 0)
+    tasks = max(_tasks(rows.sparkSession), -(-n // TASK_ROWS))
+    short, long = [level for level in levels if level < grid], [level for level in levels if level >= grid]
+    found = []
+    if long:
+        far = sided.filter(F.col("__level") >= grid)
+        most = cells.filter(F.col("__level") >= grid).groupBy("__key").count().agg(F.max("count")).first()[0]
+        parts = min(-(-most // PART_PERIODS), 1 << grid)  # the low bits of these keys are free
+        far = far.withColumn("__key", F.col("__key").bitwiseOR(F.pmod(F.xxhash64(start, end), F.lit(parts))))
+        blocks = _with_keys(_blocks(placed.filter("__at is not null"), grid, tasks), F.col("__grid"), grid, long)
+        part = F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(parts - 1).cast("bigint")))
+        if parts > 1:
+            blocks = blocks.withColumn("__part", part).withColumn("__row_key", F.col("__row_key").bitwiseOR(F.col("__part")))
+        touch = (F.col("__from") <= F.col("__last")) & (F.col("__first") < F.col("__to"))
+        met = blocks.join(far, (F.col("__row_key") == F.col("__key")) & touch)
+        single = met.select(start, end, "__from", "__to", F.inline("__rows"))
+        found.append(single.filter(_within(at)).select(*columns))
+    if short:
+        dealt = _with_keys(placed.repartition(tasks) if small else placed, at, 0, short)
+        near = sided.filter(F.col("__level") < grid)
+        found.append(dealt.join(near, (F.col("__row_key") == F.col("__key")) & _within(at)).select(*columns))
     # Which rows have no period depends on the union of all periods alone.
     outside = _outside(rows, ts, cells.select(start, end).distinct(), start, end)
-    return matched.unionByName(outside.select(*rows.columns, *none))
+    return reduce(DataFrame.unionByName, [*found, outside.select(*rows.columns, *none)])
+
+
+def _within(at: Column) -> Column:
+    return (at >= F.col("__from")) & (at < F.col("__to"))
+
+
+def _with_keys(df: DataFrame, cell: Column, level: int, levels: Sequence[int]) -> DataFrame:
+    """Each row once per level, with the key of the cell there that holds its `cell` of `level`."""
+    keys = [_cell_key(F.call_function("shiftright", cell, F.lit(n - level)), F.lit(n)) for n in levels]
+    return df.withColumn("__row_key", F.explode(F.array(*keys)) if len(keys) > 1 else keys[0])
+
+
+def _blocks(placed: DataFrame, grid: int, tasks: int) -> DataFrame:
+    """Rows in arrays of up to `BLOCK_ROWS` that lie side by side in one cell of level `grid`, dealt evenly to the tasks.
+
+    An instant that holds many rows fills as many blocks.
+    """
+    tie = F.xxhash64(*placed.columns)
+    ordered = placed.repartitionByRange(tasks, "__at", tie).sortWithinPartitions("__at", tie)
+    number = F.call_function("div", F.monotonically_increasing_id(), F.lit(BLOCK_ROWS))
+    numbered = ordered.withColumns({"__block": number, "__grid": F.shiftright("__at", grid)})
+    gathered = numbered.repartition(tasks, "__grid", "__block").groupBy("__grid", "__block")
+    members = F.collect_list(F.struct(*placed.columns)).alias("__rows")
+    return gathered.agg(F.min("__at").alias("__first"), F.max("__at").alias("__last"), members)
 
 
 def _tasks(spark) -> int:

@@ -250,6 +250,37 @@ def test_matches_of_one_row_group_are_made_by_all_tasks(spark):
     assert max(Counter(r.task for r in got).values()) * 2 < len(got)
 
 
+@pytest.mark.parametrize("few", [skew.BROADCAST_ROWS, 3])
+def test_blocks_of_rows_meet_parts_of_cells(spark, monkeypatch, few):
+    """Blocks and single rows, an instant that fills many blocks, a cell of many parts; periods broadcast and not."""
+    monkeypatch.setattr(skew, "BROADCAST_ROWS", few)
+    for name, value in (("BLOCK_ROWS", 4), ("GRID_ROWS", 8), ("PART_PERIODS", 3), ("TASK_ROWS", 100)):
+        monkeypatch.setattr(ranges, name, value)
+    rng = random.Random(6)
+    second = lambda n: datetime(1970, 1, 1) + timedelta(seconds=n)
+    rows = [(i, None if i % 60 == 0 else second(rng.choice([100, rng.randrange(-9_000, 9_000)]))) for i in range(300)]
+    periods = {(second(a), second(a + rng.choice([0, 1, 60, 900, 5_000, 9_000]))) for a in rng.choices(range(-9_000, 9_000), k=90)}
+    df = spark.createDataFrame(rows, "id int, ts timestamp")
+    found = ranges.assign_periods(df, "ts", spark.createDataFrame(list(periods), "startdate timestamp, enddate timestamp"))
+    expected = Counter()
+    for i, t in rows:
+        inside = [p for p in periods if t and p[0] <= t < p[1]]
+        expected.update([(i, t, *p) for p in inside] or [(i, t, None, None)])
+    assert Counter(tuple(r) for r in found.collect()) == expected
+
+
+def test_matches_of_long_periods_are_stored_in_little_room(spark, tmp_path):
+    """The result grows with rows times periods; its files must not need bytes for each of these."""
+    second = lambda n: datetime(2024, 1, 1) + timedelta(seconds=n)
+    df = spark.range(20_000).selectExpr("id", "timestamp_seconds(1704067200 + id * 7919 % 20000) AS ts")
+    periods = [(second(37 * i % 2_500), second(17_500 + 53 * i % 2_500 - i % 2 * 7_500)) for i in range(600)]
+    asked = spark.createDataFrame(periods, "startdate timestamp, enddate timestamp").distinct()
+    ranges.assign_periods(df, "ts", asked).select("id", "startdate", "enddate").write.parquet(f"{tmp_path}/found")
+    matches = spark.read.parquet(f"{tmp_path}/found").filter("startdate is not null").count()
+    assert matches == sum((b - a).seconds for a, b in set(periods))
+    assert 2 * sum(f.stat().st_size for f in (tmp_path / "found").glob("*.parquet")) < matches
+
+
 def test_cells_of_all_levels_have_keys_of_their_own(spark):
     cells = spark.range(-40, 40).select("id", F.explode(F.sequence(F.lit(0), F.lit(20))).alias("level"))
     keys = cells.select(ranges._cell_key(F.col("id"), F.col("level")).alias("key"))
