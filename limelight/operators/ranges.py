@@ -275,16 +275,16 @@ def assign_periods(rows: DataFrame, ts: str, periods: DataFrame, start: str = "s
         most = cells.filter(F.col("__level") >= grid).groupBy("__key").count().agg(F.max("count")).first()[0]
         parts = min(-(-most // PART_PERIODS), 1 << grid)  # the low bits of these keys are free
         far = far.withColumn("__key", F.col("__key").bitwiseOR(F.pmod(F.xxhash64(start, end), F.lit(parts))))
-        blocks = _with_keys(_blocks(placed.filter("__at is not null"), grid, tasks), F.col("__grid"), grid, long)
-        part = F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(parts - 1).cast("bigint")))
-        if parts > 1:
-            blocks = blocks.withColumn("__part", part).withColumn("__row_key", F.col("__row_key").bitwiseOR(F.col("__part")))
+        # The lambda is not compiled into one loop with the join, which would hold the matches of all keys of a block at once.
+        in_parts = lambda key: F.transform(F.sequence(F.lit(0), F.lit(parts - 1)), lambda p: key.bitwiseOR(p.cast("bigint")))
+        keys = F.flatten(F.array(*[in_parts(key) for key in _keys(F.col("__grid"), grid, long)]))
+        blocks = _blocks(placed.filter("__at is not null"), grid, tasks).withColumn("__row_key", F.explode(keys))
         touch = (F.col("__from") <= F.col("__last")) & (F.col("__first") < F.col("__to"))
         met = blocks.join(far, (F.col("__row_key") == F.col("__key")) & touch)
         single = met.select(start, end, "__from", "__to", F.inline("__rows"))
         found.append(single.filter(_within(at)).select(*columns))
     if short:
-        dealt = _with_keys(placed.repartition(tasks) if small else placed, at, 0, short)
+        dealt = (placed.repartition(tasks) if small else placed).withColumn("__row_key", F.explode(F.array(*_keys(at, 0, short))))
         near = sided.filter(F.col("__level") < grid)
         found.append(dealt.join(near, (F.col("__row_key") == F.col("__key")) & _within(at)).select(*columns))
     # Which rows have no period depends on the union of all periods alone.
@@ -296,10 +296,9 @@ def _within(at: Column) -> Column:
     return (at >= F.col("__from")) & (at < F.col("__to"))
 
 
-def _with_keys(df: DataFrame, cell: Column, level: int, levels: Sequence[int]) -> DataFrame:
-    """Each row once per level, with the key of the cell there that holds its `cell` of `level`."""
-    keys = [_cell_key(F.call_function("shiftright", cell, F.lit(n - level)), F.lit(n)) for n in levels]
-    return df.withColumn("__row_key", F.explode(F.array(*keys)) if len(keys) > 1 else keys[0])
+def _keys(cell: Column, level: int, levels: Sequence[int]) -> list[Column]:
+    """The keys of the cells of `levels` that hold a `cell` of `level`."""
+    return [_cell_key(F.call_function("shiftright", cell, F.lit(n - level)), F.lit(n)) for n in levels]
 
 
 def _blocks(placed: DataFrame, grid: int, tasks: int) -> DataFrame:
